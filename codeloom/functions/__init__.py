@@ -1 +1 @@
-
+"""Column builders and driver-side scalar functions."""

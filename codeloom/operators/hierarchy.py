@@ -37,9 +37,9 @@ def inherit_links(nodes: DataFrame, edges: DataFrame, relation: str = "inherits"
     return links.join(ids, links.parent == ids._id, "left_semi")
 
 
-def _doubled(spark, scratch: Scratch, state: DataFrame) -> tuple[DataFrame, bool]:
+def _doubled(scratch: Scratch, state: DataFrame, active: int) -> tuple[DataFrame, bool]:
     """Rounds of pointer doubling; state: v, jump, steps, done, size. Second: whether unresolved nodes remain."""
-    active, k = state.where("not done").count(), 0
+    k = 0
     while active:
         adds = state.where(F.col("steps") == F.lit(1 << k)).groupBy(F.col("jump").alias("_to")).agg(F.sum("size").alias("_add"))
         right = state.select(F.col("v").alias("_v"), F.col("jump").alias("_j"), F.col("steps").alias("_s"), F.col("done").alias("_d"))
@@ -48,11 +48,10 @@ def _doubled(spark, scratch: Scratch, state: DataFrame) -> tuple[DataFrame, bool
         )
         new = go.unionByName(state.where("done")).join(adds, F.col("v") == F.col("_to"), "left")
         new = new.withColumn("size", F.col("size") + F.coalesce("_add", F.lit(0))).drop("_to", "_add")
-        state = scratch.save(new, replaces=state)
-        left, k = state.where("not done").count(), k + 1
-        if left == active:
+        state, seen = scratch.save_counting(new, state, left=~F.col("done"))
+        if seen["left"] == active:
             return state, True
-        active = left
+        active, k = seen["left"], k + 1
     return state, False
 
 
@@ -72,14 +71,12 @@ def _cycles(scratch: Scratch, links: DataFrame, state: DataFrame) -> DataFrame:
     ring = scratch.save(ring.withColumn("least", F.col("v")))
     while True:
         right = ring.select(F.col("v").alias("_v"), F.col("jump").alias("_j"), F.col("least").alias("_l"))
-        new = ring.join(right, F.col("jump") == F.col("_v")).select(
+        new = ring.drop("changed").join(right, F.col("jump") == F.col("_v")).select(
             "v", F.col("_j").alias("jump"), F.least("least", "_l").alias("least"), (F.col("_l") < F.col("least")).alias("changed")
         )
-        new = scratch.save(new, replaces=ring)
-        if not new.where("changed").limit(1).count():
-            ring = new
+        ring, seen = scratch.save_counting(new, ring, changed=F.col("changed"))
+        if not seen["changed"]:
             break
-        ring = scratch.save(new.drop("changed"), replaces=new)
     least = ring.select(F.col("v").alias("_v"), F.col("least").alias("root_id"))
     return hop.join(least, F.col("jump") == F.col("_v")).select("v", "root_id")
 
@@ -98,8 +95,7 @@ def hierarchy(links: DataFrame) -> DataFrame:
     on the cycle as root_id and nulls elsewhere. An empty input gives no rows; extra
     columns are ignored.
     """
-    spark = links.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(links.sparkSession)
     links = links.where("child is not null and parent is not null").groupBy("child").agg(F.min("parent").alias("parent"))
     links = scratch.save(links)
     up = links.select(F.col("child").alias("_c"))
@@ -108,8 +104,8 @@ def hierarchy(links: DataFrame) -> DataFrame:
     )
     roots = links.select(F.col("parent").alias("v")).distinct().join(up, F.col("v") == F.col("_c"), "left_anti")
     roots = roots.select("v", F.col("v").alias("jump"), F.lit(0).cast("long").alias("steps"), F.lit(True).alias("done"))
-    state = scratch.save(kids.unionByName(roots).withColumn("size", F.lit(1).cast("long")))
-    state, cyclic = _doubled(spark, scratch, state)
+    state, seen = scratch.save_counting(kids.unionByName(roots).withColumn("size", F.lit(1).cast("long")), active=~F.col("done"))
+    state, cyclic = _doubled(scratch, state, seen["active"])
 
     # heavy chains over the acyclic part
     sized = state.where("done").select("v", "size")
@@ -124,22 +120,21 @@ def hierarchy(links: DataFrame) -> DataFrame:
         .select("v", "parent", "size", "is_heavy", F.col("_hsize").alias("heavy_size")),
         replaces=tree,
     )
-    chain = scratch.save(
+    chain, seen = scratch.save_counting(
         tree.select(
             "v",
             F.when(F.col("is_heavy"), F.col("parent")).otherwise(F.col("v")).alias("jump"),
             F.col("is_heavy").cast("long").alias("steps"),
             (~F.col("is_heavy")).alias("done"),
-        )
+        ),
+        active=~F.col("done"),
     )
-    active = chain.where("not done").count()
-    while active:
+    while seen["active"]:
         right = chain.select(F.col("v").alias("_v"), F.col("jump").alias("_j"), F.col("steps").alias("_s"), F.col("done").alias("_d"))
         go = chain.where("not done").join(right, F.col("jump") == F.col("_v")).select(
             "v", F.col("_j").alias("jump"), (F.col("steps") + F.col("_s")).alias("steps"), F.col("_d").alias("done")
         )
-        chain = scratch.save(go.unionByName(chain.where("done")), replaces=chain)
-        active = chain.where("not done").count()
+        chain, seen = scratch.save_counting(go.unionByName(chain.where("done")), chain, active=~F.col("done"))
     chain = chain.select("v", F.col("jump").alias("head"), F.col("steps").alias("pos"))
 
     # chains hang off chains: concatenate prefixes and preorder offsets over the table of chains
@@ -162,8 +157,8 @@ def hierarchy(links: DataFrame) -> DataFrame:
             F.concat("_seg", F.array(F.struct(F.col("up_head").alias("chain"), F.col("up_pos").alias("upto")))).alias("segments"),
             (F.col("_tin") + F.col("up_pos") + F.col("off")).alias("tin"),
         )
-        level = scratch.save(step)
-        if not level.limit(1).count():
+        level, seen = scratch.save_counting(step, rows=F.lit(True))
+        if not seen["rows"]:
             break
         levels.append(level)
     heads = levels[0]

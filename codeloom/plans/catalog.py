@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from codeloom.plans import hierarchy
+from codeloom.plans import graph_queries, hierarchy
 from codeloom.plans.registry import Query
 
-_MODULES = [hierarchy]
+_MODULES = [graph_queries, hierarchy]
 
 
 def queries() -> dict[str, Query]:

@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -49,6 +50,12 @@ class Scratch:
             self.drop(replaces)
         return out
 
+    def save_counting(self, df: DataFrame, replaces: DataFrame | None = None, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
+        """``save`` and the number of rows for which each condition holds, counted while writing."""
+        seen = Observation()
+        out = self.save(df.observe(seen, *[F.count_if(c).alias(k) for k, c in conditions.items()]), replaces)
+        return out, {k: int(v) for k, v in seen.get.items()}
+
     def drop(self, df: DataFrame) -> None:
         path = self._paths.pop(id(df), None)
         if path:

@@ -207,7 +207,7 @@ def origins(
 
     # attribute files: their text is the code of their nodes
     is_attributes = F.col("path").rlike(r"(^|/)\.gitattributes$")
-    texts = nodes.where("code_content is not null").groupBy("file_id", "id").agg(F.first("code_content").alias("code_content"))
+    texts = nodes.where(F.contains("code_content", F.lit("linguist-"))).groupBy("file_id", "id").agg(F.first("code_content").alias("code_content"))
     attributes = (
         current.where(is_attributes)
         .join(texts, "file_id")

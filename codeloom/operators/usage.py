@@ -85,4 +85,4 @@ def majority(votes: DataFrame) -> DataFrame:
 
 def latency(rows: DataFrame, column: str = "ms") -> DataFrame:
     """P50 as the discrete median and P99 as the largest of the samples."""
-    return rows.agg(F.expr(f"percentile_disc(0.5) within group (order by {column})").alias("p50"), F.max(column).alias("p99"))
+    return rows.agg(F.expr(f"percentile_disc(0.5) within group (order by {column})").cast("long").alias("p50"), F.max(column).alias("p99"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from codeloom.plans import graph_queries, hierarchy
+from codeloom.plans import graph_queries, hierarchy, search_queries, usage_queries
 from codeloom.plans.registry import Query
 
-_MODULES = [graph_queries, hierarchy]
+_MODULES = [graph_queries, search_queries, usage_queries, hierarchy]
 
 
 def queries() -> dict[str, Query]:

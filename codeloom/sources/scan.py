@@ -32,7 +32,7 @@ def scan_directory(spark: SparkSession, root: str, ignored: list[str] | None = N
     big = F.col("length") > max_bytes
     return rows.select(
         "path", F.sha2("content", 256).alias("content_hash"), "last_modified", "language",
-        F.when(~big, F.decode("content", F.lit("UTF-8"))).alias("source"), F.when(big, "size").alias("skip_reason"),
+        F.when(~big, F.decode("content", "UTF-8")).alias("source"), F.when(big, "size").alias("skip_reason"),
     )
 
 

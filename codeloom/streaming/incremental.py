@@ -68,7 +68,9 @@ def cooldown(events: DataFrame, keys: list[str], ts: str, seconds: int) -> DataF
     Events of a micro-batch are taken in time order; state leaves after ten cooldowns without an event. On batch input the same rule
     runs per key in time order.
     """
-    out = events.select(*keys, F.col(ts).cast("double").alias("at"))
+    local = dict(events.dtypes)[ts] == "timestamp_ntz"
+    at = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(ts)) / 1e6 if local else F.col(ts).cast("double")
+    out = events.select(*keys, at.alias("at"))
     schema = ", ".join(f"{c} {t}" for c, t in out.dtypes)
     if not events.isStreaming:
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 from graphs import graph, node
 from pyspark.sql import functions as F
@@ -147,8 +148,13 @@ def test_stream_cooldown(spark, tmp_path):
     batch = K.cooldown(spark.read.parquet(str(tmp_path / "in")), ["key"], "ts", 30)
     assert sorted(r["at"] for r in batch.collect()) == [0.0, 35.0, 70.0]
     stream = K.cooldown(spark.readStream.schema("key string, ts timestamp").parquet(str(tmp_path / "in")), ["key"], "ts", 30)
-    q = stream.writeStream.format("memory").queryName("cooled").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
-    q.awaitTermination()
+    q = stream.writeStream.format("memory").queryName("cooled").trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "state")).start()
+    # timeouts keep such a query running, so it is stopped once its output is there
+    for _ in range(90):
+        if spark.table("cooled").count() >= 3 or not q.isActive:
+            break
+        time.sleep(0.5)
+    q.stop()
     assert sorted(r["at"] for r in spark.table("cooled").collect()) == [0.0, 35.0, 70.0]
 
 

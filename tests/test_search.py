@@ -83,7 +83,7 @@ def test_tests_are_left_out(spark):
 
 
 def test_vectors(spark):
-    g = graph(spark, [node(i, f"n{i}") for i in (1, 2, 3)], [], vectors=[(1, [1.0, 0, 0, 0]), (2, [0.0, 1, 0, 0]), (3, [0.9, 0.1, 0, 0]), (4, [1.0])])
+    g = graph(spark, [node(i, f"n{i}") for i in (1, 2, 3)], [], vectors=[(1, [1.0, 0.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0, 0.0]), (3, [0.9, 0.1, 0.0, 0.0]), (4, [1.0])])
     assert [r["node_id"] for r in Q.vector_search(g.vectors, [1.0, 0, 0, 0], 2).collect()] == [1, 3]
     assert [r["node_id"] for r in Q.similar_nodes(g, 1).collect()] == [3]
     assert Q.similar_nodes(g, 99).count() == 0

@@ -115,22 +115,15 @@ def embedding_coverage(spark, d):
 
 
 def _with_vectors(spark, d) -> tuple[Graph, int]:
-    """The graph with the embedding table as vectors of its first nodes by id."""
+    """The graph with the embedding table as vectors of the nodes from id 1000 on, and the first node that has one."""
     g = graph(spark, d)
-    from pyspark.sql import Window
-
-    # one vector per node, joined by position in id order over the bounded embedding table
-    v = _vectors(spark, d)
-    size = v.count()
-    ids = g.located("name").where("name <> '<module>' and path <> '<external>'").select("id").orderBy("id").limit(size)
-    ids = ids.withColumn("r", F.row_number().over(Window.orderBy("id")))
-    v = v.withColumn("r", F.row_number().over(Window.orderBy("node_id"))).select("r", "embedding")
-    vectors = ids.join(v, "r").select(F.col("id").alias("node_id"), "embedding")
-    return g.with_vectors(vectors), ids.agg(F.min("id")).first()[0]
+    vectors = _vectors(spark, d).select((F.col("node_id") + 1000).alias("node_id"), "embedding")
+    some = g.located("name").where("name <> '<module>' and path <> '<external>'").join(vectors.select(F.col("node_id").alias("_v")), F.col("id") == F.col("_v"), "left_semi")
+    return g.with_vectors(vectors), some.agg(F.min("id")).first()[0]
 
 
-_NODE_VECTORS = """ni as (select id, row_number() over (order by id) r from loc where name <> '<module>' and path <> '<external>'), ne as (select cast(embedding as double[]) v, row_number() over (order by vec_id) r from embeddings),
-nv as (select id node_id, v from ni join ne using (r)), q0 as (select node_id, v from nv where node_id = (select min(id) from ni))"""
+_NODE_VECTORS = """ni as (select id from loc where name <> '<module>' and path <> '<external>'), nv as (select vec_id + 1000 node_id, cast(embedding as double[]) v from embeddings),
+q0 as (select node_id, v from nv where node_id = (select min(id) from ni where id in (select node_id from nv)))"""
 
 
 @R.query("similar_items", sql(

@@ -203,3 +203,13 @@ def test_missing_and_unembedded(spark):
     assert [r["id"] for r in lookups.missing_context(g).collect()] == [1]
     assert [r["id"] for r in lookups.unembedded(g).collect()] == [3]
     assert tuple(lookups.embedding_coverage(g).first()) == (1, 2)
+
+
+def test_bitmap_filter_keeps_every_member(spark):
+    from codeloom.operators.bitmaps import maybe_in
+
+    rows = spark.range(3000).withColumn("_map", F.lit("clash")).drop("_map")
+    members = spark.createDataFrame([(7 * i,) for i in range(60)] + [(None,), (-5,)], "m long")
+    got = {r["id"] for r in maybe_in(rows, F.col("id"), members, F.col("m"), bits=16).collect()}
+    assert {7 * i for i in range(60)} <= got and len(got) < 90
+    assert maybe_in(rows, F.col("id"), members.limit(0), F.col("m")).count() == 0

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.shingles import WordHash, combine, minhashes, shingle_set, words
+from codeloom.operators.bitmaps import maybe_in
 from codeloom.operators.components import connected_components
 from codeloom.storage import Scratch
 
@@ -56,10 +57,17 @@ def features(texts: DataFrame, shingle: int, min_words: int, tables: int = TABLE
     return texts.mapInPandas(compute, _FEATURES)
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """The (id, slot, value) whose value at that slot another id has too."""
-    hot = entries.groupBy(F.col("slot").alias("_s"), F.col("value").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return entries.join(hot, (F.col("slot") == F.col("_s")) & (F.col("value") == F.col("_v")), "left_semi")
+def _shared(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """The (id, slot, value) whose value at that slot another id has too.
+
+    A count over all rows finds the values that come again, a bitmap of them drops the other entries where they are read, and the few
+    that are left are made distinct and counted exactly.
+    """
+    key = F.xxhash64("slot", "value")
+    again = entries.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key.alias("_k"))
+    some = scratch.save(maybe_in(entries, key, scratch.save(again), F.col("_k")).distinct())
+    hot = some.groupBy(F.col("slot").alias("_s"), F.col("value").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return some.join(hot, (F.col("slot") == F.col("_s")) & (F.col("value") == F.col("_v")), "left_semi")
 
 
 def similar_classes(
@@ -82,14 +90,15 @@ def similar_classes(
     )
     own = members.where("id = rep").select(F.col("rep").alias("_rep"))
     keyed = all_rows.join(own, F.col("id") == F.col("_rep"), "left_semi")
-    slots = lambda c: keyed.select("id", F.posexplode(c).alias("slot", "value")).distinct()
-    left, right = _shared(slots("left")), _shared(slots("right"))
+    slots = lambda c: keyed.select("id", F.posexplode(c).alias("slot", "value"))
+    left, right = _shared(slots("left"), scratch), _shared(slots("right"), scratch)
     right = right.select(F.col("id").alias("_id"), F.col("slot").alias("slot2"), F.col("value").alias("value2"))
     keys = scratch.save(left.join(right, F.col("id") == F.col("_id")).select("id", F.xxhash64("slot", "value", "slot2", "value2").alias("key")))
     other = keys.select(F.col("id").alias("b"), F.col("key").alias("_key"))
     meet = keys.select(F.col("id").alias("a"), "key").join(other, (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b"))).select("a", "b")
     meet = scratch.save(meet.distinct())
-    sets = all_rows.join(meet.select(F.explode(F.array("a", "b")).alias("_i")).distinct(), F.col("id") == F.col("_i"), "left_semi").select("id", "shingles")
+    met = scratch.save(meet.select(F.explode(F.array("a", "b")).alias("_i")).distinct())
+    sets = maybe_in(all_rows.select("id", "shingles"), F.col("id"), met, F.col("_i")).join(met, F.col("id") == F.col("_i"), "left_semi")
     sets = sets.dropDuplicates(["id"])
     one = sets.select(F.col("id").alias("_a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("id").alias("_b"), F.col("shingles").alias("sb"))

@@ -127,12 +127,12 @@ q0 as (select node_id, v from nv where node_id = (select min(id) from ni where i
 
 
 @R.query("similar_items", sql(
-    f"{_NODE_VECTORS}, near as (select nv.node_id, list_distance(nv.v, (select v from q0)) dist from nv order by 2, 1 limit 31), c as (select node_id, dist, count_if(dist > 1.2) over () dropped from near where node_id <> (select node_id from q0)) "
-    f"select c.node_id, name, path, round(1 / (1 + dist), 4) similarity, dropped cutoff_dropped from c join loc on loc.id = c.node_id where dist <= 1.2 and not {_test('name', 'path', 'is_test')} order by dist, c.node_id limit 10"
+    f"{_NODE_VECTORS}, near as (select nv.node_id, list_distance(nv.v, (select v from q0)) dist from nv order by 2, 1 limit 31), c as (select node_id, dist, count_if(dist > 1.5) over () dropped from near where node_id <> (select node_id from q0)) "
+    f"select c.node_id, name, path, round(1 / (1 + dist), 4) similarity, dropped cutoff_dropped from c join loc on loc.id = c.node_id where dist <= 1.5 and name <> '<module>' and path <> '<external>' and not {_test('name', 'path', 'is_test')} order by dist, c.node_id limit 10"
 ))
 def similar_items(spark, d):
     g, first = _with_vectors(spark, d)
-    return Q.similar_nodes(g, first, 10, cutoff=1.2)
+    return Q.similar_nodes(g, first, 10, cutoff=1.5)
 
 
 _RRF = f"""{_DOCS}, {_bm25('dd', 'doc_id', {'text': 1.0})}, {_ALL},

@@ -9,7 +9,7 @@ from codeloom import schema as S
 from codeloom.functions import predicates as P
 from codeloom.graph import Graph
 from codeloom.operators.lookups import caller_counts, routes
-from codeloom.operators.traverse import call_graph
+from codeloom.operators.traverse import call_reach
 
 _KINDS = {"functions": ("function", "method"), "classes": ("class", "struct"), "interfaces": ("interface", "trait")}
 
@@ -109,8 +109,8 @@ def module_overview(g: Graph, prefix: str, hot: int = 5, most: int = 30, names:
 
 
 def callers_with_routes(g: Graph, name: str, depth: int = 3, path: str | None = None) -> DataFrame:
-    """Callers of a symbol with the first route that leads to each."""
-    rows = call_graph(g, name, "callers", depth, path)
+    """All callers of a symbol with the first route that leads to each."""
+    rows = call_reach(g, name, "callers", depth, path)
     first = g.edges.where(F.col("relation") == S.ROUTES_TO).groupBy(F.col("source_id").alias("_s")).agg(F.min_by("metadata", "id").alias("route"))
     return rows.join(first, F.col("node_id") == F.col("_s"), "left").drop("_s")
 

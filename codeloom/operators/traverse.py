@@ -40,8 +40,8 @@ def call_steps(g: Graph, direction: str) -> DataFrame:
     return e.select(F.col(a).alias("source"), F.col(b).alias("target"))
 
 
-def call_graph(g: Graph, name: str, direction: str = "both", depth: int = 3, path: str | None = None, limit: int = S.MAX_GRAPH_ROWS) -> DataFrame:
-    """(node_id, name, type, path, depth, direction, parent_id) around the symbols of a name, at most ``limit`` rows a direction by depth and id.
+def call_reach(g: Graph, name: str, direction: str = "both", depth: int = 3, path: str | None = None) -> DataFrame:
+    """(node_id, name, type, path, depth, direction, parent_id) of every symbol reached from the symbols of a name, these at depth 0.
 
     Depth is cut at 10. With direction 'both' the seeds come once per direction.
     """
@@ -52,25 +52,41 @@ def call_graph(g: Graph, name: str, direction: str = "both", depth: int = 3, pat
     out = None
     for way in ("callers", "callees") if direction == "both" else (direction,):
         rows = bfs(call_steps(g, way), seeds, depth).join(where, F.col("node") == F.col("_i"))
-        rows = rows.orderBy("depth", "node").limit(limit)
         rows = rows.select(F.col("node").alias("node_id"), "name", "type", "path", "depth", F.lit(way).alias("direction"), F.col("parent").alias("parent_id"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def listed(rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows a direction by depth and id: for listings only, counts are taken before."""
+    part = lambda way: rows.where(F.col("direction") == way).orderBy("depth", "node_id").limit(limit)
+    return part("callers").unionByName(part("callees"))
+
+
+def call_graph(g: Graph, name: str, direction: str = "both", depth: int = 3, path: str | None = None, limit: int = S.MAX_GRAPH_ROWS) -> DataFrame:
+    """The listing of ``call_reach``: at most ``limit`` rows a direction by depth and id, seeds included."""
+    return listed(call_reach(g, name, direction, depth, path), limit)
+
+
 def closest(rows: DataFrame) -> DataFrame:
     """The least depth of each (node, direction)."""
     return rows.groupBy("node_id", "direction").agg(F.min("depth").alias("depth"))
 
 
-def call_graph_tool(g: Graph, name: str, direction: str = "both", depth: int = 3, path: str | None = None, include_tests: bool = False) -> DataFrame:
-    """The call graph without its seeds and, unless wanted, without test symbols; one row for each (name, path, depth, direction)."""
-    rows = call_graph(g, name, direction, depth, path).where("depth > 0")
+def callers_and_callees(g: Graph, name: str, direction: str = "both", depth: int = 3, path: str | None = None, include_tests: bool = False) -> DataFrame:
+    """``call_reach`` without its seeds and, unless wanted, without test symbols."""
+    rows = call_reach(g, name, direction, depth, path).where("depth > 0")
+    if include_tests:
+        return rows
     flags = g.nodes.select(F.col("id").alias("_i"), "is_test")
     rows = rows.join(flags, F.col("node_id") == F.col("_i"), "left")
-    if not include_tests:
-        rows = rows.where(~P.is_test(F.col("name"), F.col("path"), F.col("is_test")))
-    return rows.groupBy("name", "path", "depth", "direction").agg(F.min("node_id").alias("node_id"))
+    return rows.where(~P.is_test(F.col("name"), F.col("path"), F.col("is_test"))).drop("_i", "is_test")
+
+
+def call_graph_tool(g: Graph, name: str, direction: str = "both", depth: int = 3, path: str | None = None, include_tests: bool = False, limit: int = S.MAX_GRAPH_ROWS) -> DataFrame:
+    """The listing without seeds and, unless wanted, without test symbols: one row for each (name, path, depth, direction), the first ``limit`` of a direction."""
+    rows = callers_and_callees(g, name, direction, depth, path, include_tests)
+    return listed(rows.groupBy("name", "path", "depth", "direction").agg(F.min("node_id").alias("node_id")), limit)
 
 
 def rollup(rows: DataFrame, most: int = 10) -> DataFrame:

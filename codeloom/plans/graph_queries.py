@@ -388,7 +388,7 @@ def call_graph_both(spark, d):
     f"{_walk('callers', 2, 'handle')} select path, direction, count(*) n, array_to_string(list(name order by depth, node_id)[1:10], ',') as names, min(depth) min_depth, max(depth) max_depth from callers_g group by 1, 2", True
 ))
 def call_graph_rollup(spark, d):
-    return T.rollup(T.call_graph(graph(spark, d), "handle", "callers", 2))
+    return T.rollup(T.callers_and_callees(graph(spark, d), "handle", "callers", 2))
 
 
 @R.query("call_graph_tool", sql(

@@ -87,3 +87,14 @@ def test_routes(spark):
     assert rows["caller"] == meta
     assert [(r["name"], r["depth"]) for r in T.trace_routes(g, "GET /api").orderBy("depth").collect()] == [("caller", 0), ("handler", 1)]
     assert T.trace_routes(g, "POST /api").count() == 0
+
+
+def test_row_limit_cuts_listings_only(spark):
+    nodes = [node(i, "seed") for i in range(1, 206)] + [node(300 + i, f"caller{i}", file_id=2) for i in range(250)] + [node(900, "test_seed")]
+    edges = [(300 + i, 1 + i % 205, "calls") for i in range(250)] + [(900, 1, "calls")]
+    g = graph(spark, nodes, edges, ((1, "src/a.ts", "typescript"), (2, "src/b.ts", "typescript")))
+    r = A.impact(g, "seed").first()
+    assert (r["prod_callers"], r["test_callers"], r["files"], r["risk"]) == (250, 1, 1, "HIGH")
+    assert T.call_graph(g, "seed", "callers").count() == 200
+    assert T.call_graph_tool(g, "seed", "callers").count() == 200
+    assert [(x["path"], x["n"], x["min_depth"]) for x in T.rollup(T.callers_and_callees(g, "seed", "callers")).collect()] == [("src/b.ts", 250, 1)]

@@ -135,13 +135,14 @@ def extract_relations(spark, d):
 
 @R.query("rebuild_graph")
 def rebuild_graph(spark, d):
-    """The graph built again from the texts of its own files, counted by relation: parse, ids, tiered resolution."""
+    """The graph built again from the texts of its own files, counted by relation: parse, ids, tiered resolution; and the files not parsed in full."""
     g = graph(spark, d)
     text = g.located("name", "start_line", "code_content").where("code_content is not null")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "id", "code_content"))), lambda x: x["code_content"]), "\n")
     src = text.groupBy("path", "language").agg(whole.alias("source")).withColumn("content_hash", F.sha2("source", 256)).withColumn("last_modified", F.lit(0).cast("long"))
     _, nodes, edges = E.build(src)
-    return edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n")).unionByName(nodes.agg(F.lit("nodes").alias("relation"), F.count(F.lit(1)).alias("n")))
+    skipped = scan.skip_counts(E.skipped(src)).select(F.concat(F.lit("skipped: "), "skip_reason").alias("relation"), "n")
+    return edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n")).unionByName(nodes.agg(F.lit("nodes").alias("relation"), F.count(F.lit(1)).alias("n"))).unionByName(skipped)
 
 
 @R.query("stream_usage", f"{_TOOLS.replace('distinct ', '')} select tool, sum(s.n)::bigint n, sum(s.ms)::bigint ms, sum(s.err)::bigint err, max(s.max_ms) max_ms from t group by 1")

@@ -1,8 +1,9 @@
 """Symbols and relations of source texts as table functions (inventory A6 to A8, N, O).
 
 The engine's contract starts at the symbol and relation rows. Python is parsed with the
-standard library; the other languages by line lexers that know declarations, calls,
-imports, supertypes, exports and routes. A parser is a function of (source) that gives
+standard library, block by block where a text has errors; the other languages, and what
+stays broken of Python, by line lexers that know declarations, calls, imports,
+supertypes, exports and routes. A parser is a function of (source) that gives
 (symbols, relations); ``PARSERS`` can be extended.
 """
 
@@ -10,7 +11,9 @@ from __future__ import annotations
 
 import ast
 import json
+import keyword
 import re
+import textwrap
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -33,12 +36,117 @@ def cut(code: str) -> str:
     return code if len(raw) <= S.MAX_CODE_BYTES else raw[: S.MAX_CODE_BYTES].decode(errors="ignore") + "..."
 
 
-def parse_python(source: str) -> tuple[list[tuple], list[tuple]]:
-    """Symbols and relations of Python; a syntax error gives none."""
+_UNPARSED = (SyntaxError, ValueError, RecursionError, MemoryError)
+_GOES_ON = re.compile(r"[)\]}]|(?:else|elif|except|finally)\b")
+_STARTS = re.compile(r"(?:async\s+def|def|class|import|from)\b|@")
+
+
+def python_parts(source: str) -> Iterator[tuple[int, int, ast.Module | None]]:
+    """(first line, line after the last, tree) of the parts of a text, lines from 0: the whole text, or its top-level blocks where it has an error.
+
+    A block runs to the next line without indent, decorators and ``else`` parts included, and further while a bracket or string stays open; a
+    block that is no Python has no tree. Trees have the line numbers of the text.
+    """
+    lines = source.split("\n")
     try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return [], []
+        yield 0, len(lines), ast.parse(source)
+        return
+    except _UNPARSED:
+        pass
+    starts: list[int] = []
+    for i, line in enumerate(lines):
+        if not line.strip() or (line[0] in " \t" and starts) or _GOES_ON.match(line):
+            continue
+        last = next((k for k in range(i - 1, -1, -1) if lines[k].strip()), None)
+        if last is None or not lines[last].startswith("@"):
+            starts.append(i)
+    ends = [*starts[1:], len(lines)]
+    k = 0
+    while k < len(starts):
+        tree, j = None, k
+        while True:
+            try:
+                tree = ast.increment_lineno(ast.parse(textwrap.dedent("\n".join(lines[starts[k] : ends[j]]))), starts[k])
+            except _UNPARSED as e:
+                if re.search("never closed|unterminated triple", str(e)) and j + 1 < len(starts) and not _STARTS.match(lines[starts[j + 1]]) and j < k + 50:
+                    j += 1
+                    continue
+            break
+        j = j if tree else k
+        yield starts[k], ends[j], tree
+        k = j + 1
+
+
+_PY_DEF = re.compile(r"^(\s*)(?:async\s+)?def\s+(\w+)\s*(\(.*\))?\s*(?:->\s*([^:]+))?")
+_PY_CLASS = re.compile(r"^(\s*)class\s+(\w+)\s*(?:\(([^)]*)\))?")
+_PY_ROUTE = re.compile(rf"^\s*@[\w.]+\.({'|'.join(HTTP)}|route)\(\s*['\"]([^'\"]+)['\"](.*)", re.I)
+_PY_IMPORT = re.compile(r"^\s*import\s+(.+)")
+_PY_FROM = re.compile(r"^\s*from\s+(\.*)([\w.]*)\s+import\s+(.+)")
+
+
+def lex_python(lines: list[str], first: int, last: int) -> tuple[list[tuple], list[tuple]]:
+    """Symbols and relations of the lines from ``first`` to before ``last`` by line rules and indents, for blocks that the grammar rejects."""
+    symbols: list[tuple] = []
+    relations: list[tuple] = []
+    scopes: list[tuple[int, str, str]] = []  # indent, kind, qualified name
+    routes: list[tuple[str, str]] = []
+    width = lambda x: len(x) - len(x.lstrip())
+    for i in range(first, last):
+        line = lines[i]
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        if not line.lstrip().startswith((")", "]", "}")):
+            scopes = [x for x in scopes if x[0] < width(line)]
+        declared = None
+        if m := _PY_ROUTE.match(line):
+            given = re.search(r"methods\s*=\s*[\[(]([^\])]*)", m.group(3))
+            verbs = re.findall(r"\w+", given.group(1)) if given else ["GET"]
+            routes += [(v, m.group(2)) for v in (verbs if m.group(1).lower() == "route" else [m.group(1).upper()])]
+        if m := _PY_DEF.match(line) or _PY_CLASS.match(line):
+            is_class = m.re is _PY_CLASS
+            end = next((k for k in range(i + 1, last) if lines[k].strip() and width(lines[k]) <= width(line)), last)
+            while not lines[end - 1].strip():
+                end -= 1
+            top, above = i, []
+            for k in range(i - 1, -1, -1):
+                if not lines[k].strip().startswith(("#", "@")):
+                    break
+                if lines[k].strip().startswith("@"):
+                    top = k
+                else:
+                    above.insert(0, lines[k].strip())
+            declared = m.group(2)
+            code = cut("\n".join(lines[top:end]))
+            if is_class:
+                qualified = declared
+                symbols.append(("class", declared, declared, i + 1, end, cut("\n".join(lines[i:end])), None, "\n".join(above) or None, None, None, declared.startswith("Test")))
+                bases = [x.strip().split("[")[0].rsplit(".", 1)[-1] for x in (m.group(3) or "").split(",") if x.strip() and "=" not in x]
+                relations.extend((declared, x, S.INHERITS, None, "python") for x in bases)
+            else:
+                owner = scopes[-1][2] if scopes and scopes[-1][1] == "class" else None
+                qualified = f"{owner}.{declared}" if owner else declared
+                params, back = m.group(3), (m.group(4) or "").strip() or None
+                signature = None if params is None else params + (f" -> {back}" if back else "")
+                symbols.append(("method" if owner else "function", declared, qualified, top + 1, end, code, signature, "\n".join(above) or None, back, params, declared.startswith("test_") or declared == "test"))
+                relations.extend((qualified, declared, S.ROUTES_TO, json.dumps({"method": v, "path": p}), "python") for v, p in routes)
+            routes = []
+            scopes.append((width(line), "class" if is_class else "function", qualified))
+        elif (m := _PY_FROM.match(line)) and m.group(2):
+            names = [x.strip(" ()").split(" as ")[0].strip() for x in m.group(3).split("#")[0].split(",")]
+            relations.extend((S.MODULE, x, S.IMPORTS, json.dumps({"python_module": m.group(2)}), "python") for x in names if re.fullmatch(r"\w+|\*", x))
+        elif m := _PY_IMPORT.match(line):
+            names = [x.strip().split(" as ")[0].strip() for x in m.group(1).split("#")[0].split(",")]
+            relations.extend((S.MODULE, x.rsplit(".", 1)[-1], S.IMPORTS, json.dumps({"python_module": x, "is_module_import": True}), "python") for x in names if re.fullmatch(r"\w+(?:\.\w+)*", x))
+        elif (m := re.match(r"([A-Za-z_]\w*)\s*=(?!=)", line)) and m.group(1).isupper():
+            symbols.append(("constant", m.group(1), m.group(1), i + 1, i + 1, cut(line), None, None, None, None, False))
+        code = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|#.*", "\"\"", line)
+        scope = scopes[-1][2] if scopes else S.MODULE
+        relations.extend((scope, x, S.CALLS, None, "python") for x in re.findall(r"([A-Za-z_]\w*)\s*\(", code) if x != declared and not keyword.iskeyword(x))
+    return symbols, relations
+
+
+def parse_python(source: str) -> tuple[list[tuple], list[tuple]]:
+    """Symbols and relations of Python; of a text with errors block by block, by line rules where a block cannot be parsed."""
     lines = source.split("\n")
     symbols: list[tuple] = []
     relations: list[tuple] = []
@@ -46,7 +154,7 @@ def parse_python(source: str) -> tuple[list[tuple], list[tuple]]:
     def callee(f: ast.expr) -> str | None:
         return f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
 
-    def visit(node: ast.AST, scope: str, owner: str | None) -> None:
+    def visit(node: ast.AST, scope: str, owner: str | None, tree: ast.AST) -> None:
         for child in ast.iter_child_nodes(node):
             inner, inside = scope, owner
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -89,12 +197,37 @@ def parse_python(source: str) -> tuple[list[tuple], list[tuple]]:
                 for t in child.targets:
                     if isinstance(t, ast.Name) and t.id.isupper():
                         symbols.append(("constant", t.id, t.id, child.lineno, child.end_lineno, cut("\n".join(lines[child.lineno - 1 : child.end_lineno])), None, None, None, None, False))
-            visit(child, inner, inside)
-
-    visit(tree, "", None)
+            visit(child, inner, inside, tree)
+
+    for first, last, tree in python_parts(source):
+        if tree is None:
+            some, more = lex_python(lines, first, last)
+            symbols.extend(some)
+            relations.extend(more)
+        else:
+            visit(tree, "", None, tree)
     return symbols, relations
 
 
+def unparsed_lines(source: str | None, language: str | None) -> int:
+    """How many lines with text no grammar covers: of Python those of rejected blocks, which only line rules saw; all where a parser fails."""
+    f = PARSERS.get((language or "").lower())
+    if f is None or not source:
+        return 0
+    lines = source.split("\n")
+    spans = [(0, len(lines))]
+    try:
+        if f is parse_python:
+            spans = [(a, b) for a, b, tree in python_parts(source) if tree is None]
+            f(source)
+        else:
+            f(source)
+            spans = []
+    except Exception:  # noqa: BLE001
+        spans = [(0, len(lines))]
+    return sum(1 for a, b in spans for x in lines[a:b] if x.strip())
+
+
 _WORD = r"[A-Za-z_$][\w$]*"
 _DECLARE = {
     "js": [
@@ -336,6 +469,17 @@ def extract(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(rows.mapInPandas(run(k), f"path string, language string, {spec}") for k, spec in enumerate((SYMBOL, RELATION)))  # type: ignore[return-value]
 
 
+def skipped(sources: DataFrame) -> DataFrame:
+    """(path, language, skip_reason, lines): the files of (path, language, source) that are not parsed in full, with reason 'parse', and how many lines that concerns."""
+
+    @F.pandas_udf("long")
+    def lost(source: pd.Series, language: pd.Series) -> pd.Series:
+        return pd.Series([unparsed_lines(x, lang) for x, lang in zip(source, language)], dtype="int64")
+
+    rows = sources.select("path", "language", lost("source", "language").alias("lines"))
+    return rows.where("lines > 0").select("path", "language", F.lit("parse").alias("skip_reason"), "lines")
+
+
 def build(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, nodes, edges) of (path, content_hash, last_modified, language, source): symbols with stable ids, relations resolved over all files at once."""
     from codeloom.functions.identifiers import split_column

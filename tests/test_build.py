@@ -213,3 +213,33 @@ def test_bitmap_filter_keeps_every_member(spark):
     got = {r["id"] for r in maybe_in(rows, F.col("id"), members, F.col("m"), bits=16).collect()}
     assert {7 * i for i in range(60)} <= got and len(got) < 90
     assert maybe_in(rows, F.col("id"), members.limit(0), F.col("m")).count() == 0
+
+
+def test_python_with_errors_keeps_its_sound_parts(spark):
+    broken = """import json
+class Empty:
+
+@app.get("/x")
+def sound(a: int) -> str:
+    return helper(a)
+class Box(Base):
+    def open(self):
+        = 1
+        self.turn()
+from import import
+DATA = [
+1,
+]
+enum Kind:
+    a: 1
+def last(x):
+    return sound(x) + "cut...
+"""
+    symbols, relations = extract.parse_python(broken)
+    assert {(s[0], s[2]) for s in symbols} == {("class", "Empty"), ("function", "sound"), ("class", "Box"), ("method", "Box.open"), ("constant", "DATA"), ("function", "last")}
+    assert {s[2]: (s[3], s[4]) for s in symbols}["sound"] == (4, 6)
+    found = {r[:3] for r in relations}
+    assert found >= {("<module>", "json", "imports"), ("sound", "helper", "calls"), ("sound", "sound", "routes_to"), ("Box", "Base", "inherits"), ("Box.open", "turn", "calls"), ("last", "sound", "calls")}
+    rows = spark.createDataFrame([("a.py", "python", broken), ("b.py", "python", "def f():\n    pass"), ("c.txt", None, "x")], "path string, language string, source string")
+    assert [(r["path"], r["skip_reason"]) for r in extract.skipped(rows).collect()] == [("a.py", "parse")]
+    assert [tuple(r) for r in scan.skip_counts(extract.skipped(rows)).collect()] == [("parse", 1)]

@@ -98,8 +98,10 @@ def dirty_nodes(g: Graph, changed: DataFrame) -> DataFrame:
     return touched.join(known, F.col("id") == F.col("_k"), "left_semi")
 
 
-def missing_context(g: Graph, limit: int = 10_000) -> DataFrame:
-    return g.located("name", "context_string").where(F.col("context_string").isNull() & (F.col("path") != S.EXTERNAL)).orderBy("id").limit(limit).select("id", "name", "path")
+def missing_context(g: Graph, batch: int | None = None) -> DataFrame:
+    """(id, name, path) of all nodes without a context; a repair job that works in batches takes the first ``batch`` by id, again until none is left."""
+    rows = g.located("name", "context_string").where(F.col("context_string").isNull() & (F.col("path") != S.EXTERNAL)).select("id", "name", "path")
+    return rows if batch is None else rows.orderBy("id").limit(batch)
 
 
 def unembedded(g: Graph, limit: int = 100) -> DataFrame:

@@ -243,3 +243,11 @@ def last(x):
     rows = spark.createDataFrame([("a.py", "python", broken), ("b.py", "python", "def f():\n    pass"), ("c.txt", None, "x")], "path string, language string, source string")
     assert [(r["path"], r["skip_reason"]) for r in extract.skipped(rows).collect()] == [("a.py", "parse")]
     assert [tuple(r) for r in scan.skip_counts(extract.skipped(rows)).collect()] == [("parse", 1)]
+
+
+def test_missing_context_is_whole(spark):
+    columns = ", ".join(f"cast(null as {c.split()[1]}) {c.split()[0]}" if c.split()[0] not in ("id", "file_id", "name") else "id" if c == "id long" else "1L file_id" if c.startswith("file_id") else "'n' name" for c in S.NODES.split(", "))
+    files = spark.createDataFrame([(1, "a.py", "h", 1, "python", 1)], S.FILES)
+    g = Graph.clean(files, spark.range(10_050).selectExpr(*columns.split(", ")), spark.createDataFrame([], S.EDGES))
+    assert lookups.missing_context(g).count() == 10_050
+    assert [r["id"] for r in lookups.missing_context(g, batch=2).collect()] == [0, 1]

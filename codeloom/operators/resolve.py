@@ -70,9 +70,29 @@ def unresolved_modules(g: Graph) -> DataFrame:
     return wanted.join(known, F.col("module") == F.col("_m"), "left_anti")
 
 
-def sentinels(names: DataFrame, kind: str) -> DataFrame:
-    """Sentinel nodes (id, file_id, type, name) under the external pseudo-file for the names (column name)."""
-    return names.select("name").distinct().select(F.xxhash64(F.lit(S.EXTERNAL), F.lit(kind), "name").alias("id"), F.lit(1).cast("long").alias("file_id"), F.lit(kind).alias("type"), "name")
+def resolve_modules(imports: DataFrame, symbols: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(targets, outside) of Python imports by their module.
+
+    ``imports``: rel_id, source_id, target_name, python_module, is_module_import. Targets (rel_id, source_id, target_id) are the symbols of that name in
+    the files of the module, its module node for ``import x``; ``outside`` has the imports whose module no file provides.
+    """
+    known = module_suffixes(files).select(F.col("module").alias("_m"), F.col("path").alias("_mp"))
+    outside = imports.join(known, F.col("python_module") == F.col("_m"), "left_anti")
+    s = symbols.select(F.col("id").alias("target_id"), F.col("name").alias("_name"), F.col("path").alias("_path"))
+    wanted = F.when(F.coalesce("is_module_import", F.lit(False)), F.lit(S.MODULE)).otherwise(F.col("target_name"))
+    inside = imports.withColumn("_want", wanted).join(known, F.col("python_module") == F.col("_m")).join(s, (F.col("_mp") == F.col("_path")) & (F.col("_want") == F.col("_name")))
+    return inside.select("rel_id", "source_id", "target_id").distinct(), outside
+
+
+def sentinels(names: DataFrame, kind: str | None = None) -> DataFrame:
+    """Sentinel nodes (id, file_id, type, name) under the external pseudo-file for the names (column name), all of one kind or of column kind; one node a name.
+
+    Of several kinds of a name 'external_module' comes before 'trait' before 'module'.
+    """
+    kinds = F.col("kind") if kind is None else F.lit(kind)
+    order = F.when(kinds == "external_module", 0).when(kinds == "trait", 1).otherwise(2)
+    rows = names.select("name", kinds.alias("type"), order.alias("_o")).groupBy("name").agg(F.min_by("type", "_o").alias("type"))
+    return rows.select(F.xxhash64(F.lit(S.EXTERNAL), "name").alias("id"), F.xxhash64(F.lit(S.EXTERNAL)).alias("file_id"), "type", "name")
 
 
 def context_strings(g: Graph, only: DataFrame | None = None, most: int = 10) -> DataFrame:

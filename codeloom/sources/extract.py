@@ -481,10 +481,15 @@ def skipped(sources: DataFrame) -> DataFrame:
 
 
 def build(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files, nodes, edges) of (path, content_hash, last_modified, language, source): symbols with stable ids, relations resolved over all files at once."""
+    """(files, nodes, edges) of (path, content_hash, last_modified, language, source): symbols with stable ids, relations resolved over all files at once.
+
+    Python imports are held to the files of their module. Modules no file provides, and imports and supertypes that no symbol has the name of, lead to
+    sentinel nodes of the external pseudo-file.
+    """
     from codeloom.functions.identifiers import split_column
     from codeloom.graph import node_key
-    from codeloom.operators.resolve import resolve
+    from codeloom.operators.resolve import resolve, resolve_modules, sentinels
+    from codeloom.storage import Scratch
 
     files = sources.select(F.xxhash64("path").alias("id"), "path", "content_hash", "last_modified", "language", F.unix_timestamp().alias("indexed_at"))
     symbols, relations = extract(sources)
@@ -498,14 +503,35 @@ def build(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.lit(0).cast("long").alias("start_line"), F.lit(0).cast("long").alias("end_line"), F.lit("").alias("code_content"), *[F.lit(None).cast("string").alias(c) for c in ("signature", "doc_comment", "context_string", "name_tokens", "return_type", "param_types")],
         F.lit(False).alias("is_test"), "path", "language",
     )
-    nodes = n.unionByName(module)
+    scratch = Scratch(sources.sparkSession)  # both are read by several branches below
+    nodes = scratch.save(n.unionByName(module))
     # the source of a relation: its qualified name in the file first, then the bare name
     own = nodes.select(F.col("id").alias("source_id"), F.col("path").alias("_p"), F.explode(F.array_distinct(F.array(F.when(F.col("type") == "module", F.lit(S.MODULE)).otherwise(F.col("qualified_name")), "name"))).alias("_key"), "qualified_name")
     r = relations.withColumn("rel_id", F.xxhash64("path", "source_name", "target_name", "relation", "metadata")).dropDuplicates(["rel_id"])
     r = r.join(own, (F.col("path") == F.col("_p")) & (F.col("source_name") == F.col("_key")))
     best = F.max(F.struct((F.col("qualified_name") == F.col("source_name")).cast("int").alias("q"), (-F.col("source_id")).alias("s")))
     r = r.groupBy("rel_id", "path", "language", "source_name", "target_name", "relation", "metadata").agg(best.alias("b")).withColumn("source_id", -F.col("b.s")).drop("b")
-    found = resolve(r.select("rel_id", "source_id", "path", "language", "target_name", "relation"), nodes.select("id", "name", "path", "language"))
+    r = scratch.save(r)
+    known = nodes.select("id", "name", "path", "language")
+    module_meta = F.from_json("metadata", S.IMPORT_METADATA)
+    imports = r.where(F.col("relation") == S.IMPORTS).withColumn("_m", module_meta).select("rel_id", "source_id", "target_name", "_m.python_module", "_m.is_module_import").where("python_module is not null")
+    targets, outside = resolve_modules(imports, known, sources.select("path"))
+    settled = targets.select("rel_id").unionByName(outside.select("rel_id")).select(F.col("rel_id").alias("_d")).distinct()
+    rest = r.join(settled, F.col("rel_id") == F.col("_d"), "left_anti")
+    found = resolve(rest.select("rel_id", "source_id", "path", "language", "target_name", "relation"), known).select("rel_id", "source_id", "target_id", "relation")
+    found = found.unionByName(targets.where("source_id <> target_id").withColumn("relation", F.lit(S.IMPORTS)))
     meta = r.select(F.col("rel_id").alias("_r"), "metadata").distinct()
-    edges = found.join(meta, F.col("rel_id") == F.col("_r")).select(F.xxhash64("source_id", "target_id", "relation", "metadata").alias("id"), "source_id", "target_id", "relation", "metadata")
-    return files, nodes.drop("path", "language"), edges.dropDuplicates(["id"])
+    named = known.select(F.col("name").alias("_n")).distinct()
+    lost = rest.where(F.col("relation").isin(S.IMPORTS, S.IMPLEMENTS)).join(named, F.col("target_name") == F.col("_n"), "left_anti")
+    lost = lost.select("source_id", F.col("target_name").alias("name"), "relation", F.when(F.col("relation") == S.IMPLEMENTS, "trait").otherwise("module").alias("kind"))
+    lost = lost.unionByName(outside.select("source_id", F.col("python_module").alias("name"), F.lit(S.IMPORTS).alias("relation"), F.lit("external_module").alias("kind")))
+    ext = sentinels(lost)
+    blank = {c: F.lit(None).cast("string") for c in ("signature", "doc_comment", "context_string", "name_tokens", "return_type", "param_types")}
+    zero = {c: F.lit(0).cast("long") for c in ("start_line", "end_line")}
+    nodes = nodes.drop("path", "language").unionByName(ext.withColumns({"qualified_name": F.concat(F.lit(f"{S.EXTERNAL}/"), "name"), "code_content": F.lit(""), "is_test": F.lit(False)} | blank | zero))
+    away = lost.select("source_id", "name", "relation").distinct().join(ext.select(F.col("id").alias("target_id"), F.col("name").alias("_n")), F.col("name") == F.col("_n"))
+    away = away.select("source_id", "target_id", "relation", F.lit(None).cast("string").alias("metadata"))
+    edges = found.join(meta, F.col("rel_id") == F.col("_r")).select("source_id", "target_id", "relation", "metadata").unionByName(away)
+    edges = edges.select(F.xxhash64("source_id", "target_id", "relation", "metadata").alias("id"), "source_id", "target_id", "relation", "metadata")
+    outer = ext.limit(1).select(F.col("file_id").alias("id"), F.lit(S.EXTERNAL).alias("path"), F.lit("external").alias("content_hash"), F.lit(0).cast("long").alias("last_modified"), F.lit("external").alias("language"), F.unix_timestamp().alias("indexed_at"))
+    return files.unionByName(outer).dropDuplicates(["id"]), nodes, edges.dropDuplicates(["id"])

@@ -251,3 +251,19 @@ def test_missing_context_is_whole(spark):
     g = Graph.clean(files, spark.range(10_050).selectExpr(*columns.split(", ")), spark.createDataFrame([], S.EDGES))
     assert lookups.missing_context(g).count() == 10_050
     assert [r["id"] for r in lookups.missing_context(g, batch=2).collect()] == [0, 1]
+
+
+def test_imports_keep_to_their_module_or_lead_outside(spark):
+    rows = [
+        ("pkg/util.py", "h", 1, "python", "def load():\n    pass"), ("other/util2.py", "h", 1, "python", "def load():\n    pass"),
+        ("app.py", "h", 1, "python", "from pkg.util import load\nimport pkg.util\nfrom requests import get\nimport os.path"),
+        ("a.rs", "h", 1, "rust", "struct Out;\nimpl Write for Out {\n}"), ("b.js", "h", 1, "javascript", "const fs = require('fs')"),
+    ]
+    files, nodes, edges = extract.build(spark.createDataFrame(rows, "path string, content_hash string, last_modified long, language string, source string"))
+    n = {r["id"]: (r["path"], r["type"], r["name"]) for r in nodes.join(files.select(F.col("id").alias("f"), "path"), F.col("file_id") == F.col("f")).collect()}
+    got = {(n[e["source_id"]][0], e["relation"], *n[e["target_id"]]) for e in edges.where("relation in ('imports', 'implements')").collect()}
+    assert got == {
+        ("app.py", "imports", "pkg/util.py", "function", "load"), ("app.py", "imports", "pkg/util.py", "module", "<module>"),
+        ("app.py", "imports", "<external>", "external_module", "requests"), ("app.py", "imports", "<external>", "external_module", "os.path"),
+        ("a.rs", "implements", "<external>", "trait", "Write"), ("b.js", "imports", "<external>", "module", "fs"),
+    }

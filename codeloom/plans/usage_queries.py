@@ -63,7 +63,7 @@ def latency(spark, d):
     when cjk then 'concept-cjk' when nat then 'concept-nl' when share >= 0.5 then 'kw-multi' else 'concept-mixed' end bucket from k)
   select bucket, count(*)::bigint n, round(count(*) * 100.0 / sum(count(*)) over (), 1) share from c group by 1""" % ", ".join(repr(x) for x in U.NATURAL))
 def query_classify(spark, d):
-    q = table(spark, d, "documents").where("text is not null and length(text) < 200").select(F.col("text").alias("q"))
+    q = table(spark, d, "documents").where("text is not null").select(F.col("text").alias("q"))
     return U.query_histogram(q, "q").select("bucket", "n", "share")
 
 

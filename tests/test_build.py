@@ -267,3 +267,11 @@ def test_imports_keep_to_their_module_or_lead_outside(spark):
         ("app.py", "imports", "<external>", "external_module", "requests"), ("app.py", "imports", "<external>", "external_module", "os.path"),
         ("a.rs", "implements", "<external>", "trait", "Write"), ("b.js", "imports", "<external>", "module", "fs"),
     }
+
+
+def test_long_texts_are_classified(spark, tmp_path):
+    from codeloom.plans import usage_queries
+
+    rows = [(1, "how to " + "parse " * 60), (2, "update_node"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {(r["bucket"], r["n"], r["share"]) for r in usage_queries.query_classify(spark, str(tmp_path)).collect()} == {("concept-nl", 1, 50.0), ("kw-single", 1, 50.0)}

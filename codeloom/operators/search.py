@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,6 +111,42 @@ def vector_search(vectors: DataFrame, query: list[float], k: int, metric: str =
     return rows.orderBy("distance", "node_id").limit(k)
 
 
+def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int = 2048, query_block: int = 256) -> DataFrame:
+    """(query_id, node_id, distance): the k nearest of ``vectors`` to every vector of ``queries`` (both node_id, embedding), ties by id at nine digits.
+
+    Blocks of vectors meet blocks of queries; each pair of blocks keeps its k best a query, and these are merged. Vectors of another dimension than
+    the query, and for cosine vectors of length zero, are left out.
+    """
+
+    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        rows = rows.where("embedding is not null").select("node_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        n = max(1, -(-rows.count() // size))
+        return rows.groupBy(F.pmod(F.xxhash64("node_id"), F.lit(n)), F.size("embedding")).agg(F.collect_list("node_id").alias(f"{name}_id"), F.collect_list("embedding").alias(name)).select(f"{name}_id", name)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for vi, v, qi, q in zip(b["v_id"], b["v"], b["q_id"], b["q"]):
+                if len(v[0]) != len(q[0]):
+                    continue
+                ids, all_v = np.asarray(vi), np.stack(list(v))
+                norms = np.sqrt((all_v * all_v).sum(1))
+                for one, x in zip(qi, q):
+                    if metric == "l2":
+                        dist = np.sqrt(((all_v - x) ** 2).sum(1))
+                    else:
+                        with np.errstate(invalid="ignore", divide="ignore"):
+                            dist = 1.0 - all_v @ x / (norms * np.sqrt(x @ x))
+                    near = np.lexsort((ids, np.round(dist, 9)))[:k]
+                    out += [(int(one), int(ids[j]), float(dist[j])) for j in near if np.isfinite(dist[j])]
+            yield pd.DataFrame(out, columns=["query_id", "node_id", "distance"])
+
+    pairs = blocks(vectors, block, "v").crossJoin(blocks(queries, query_block, "q"))
+    rows = pairs.mapInPandas(best, "query_id long, node_id long, distance double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "node_id"))
+    return rows.withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
+
+
 def normalised(vectors: DataFrame) -> DataFrame:
     """Vectors of length one; zero vectors stay."""
     norm = F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))

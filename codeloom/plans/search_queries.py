@@ -107,6 +107,27 @@ def vector_cosine(spark, d):
     return Q.vector_search(v, _query_vector(v), 20, "cosine").withColumn("distance", F.round("distance", 5))
 
 
+def _many(dist: str) -> str:
+    return f"""with vv as (select vec_id, cast(embedding as double[]) v from embeddings), d as (select q.vec_id query_id, a.vec_id node_id, {dist} d from vv q, vv a where q.vec_id % 50 = 0)
+    select query_id, node_id, round(d, 5) distance from d qualify row_number() over (partition by query_id order by round(d, 9), node_id) <= 20"""
+
+
+def _search_many(spark, d, metric):
+    v = _vectors(spark, d)
+    return Q.vector_search_many(v, v.where("node_id % 50 = 0"), 20, metric).withColumn("distance", F.round("distance", 5))
+
+
+@R.query("vector_topk_many", _many("list_distance(a.v, q.v)"))
+def vector_topk_many(spark, d):
+    """The nearest vectors to every vector whose id is divisible by 50."""
+    return _search_many(spark, d, "l2")
+
+
+@R.query("vector_cosine_many", _many("1 - list_cosine_similarity(a.v, q.v)"))
+def vector_cosine_many(spark, d):
+    return _search_many(spark, d, "cosine")
+
+
 @R.query("embedding_coverage", sql("select count(vec_id) embedded, count(*) embeddable from (select id from n where context_string is not null) left join (select distinct vec_id from embeddings) on vec_id = id"))
 def embedding_coverage(spark, d):
     from codeloom.operators.lookups import embedding_coverage as coverage

@@ -102,3 +102,19 @@ def test_scalar_rules():
     assert Q.source_weights("RRF") == (2.0, 0.8) and Q.source_weights("parse json") == (1.0, 1.2)
     assert Q.strip_outer_generic("Result<Vec<A>, B>") == "B" and Q.strip_outer_generic("A") == "A"
     assert Q.zero_result_hint("a(b)") == "syntax"
+
+
+def test_many_vector_queries_equal_single_ones(spark):
+    import random
+
+    from codeloom.operators import search
+
+    rng = random.Random(3)
+    v = spark.createDataFrame([(i, [rng.randrange(-3, 4) + 0.5 for _ in range(4)]) for i in range(60)] + [(99, [1.0])], "node_id long, embedding array<float>")
+    queries = v.where("node_id % 7 = 0 and node_id < 60")
+    for metric in ("l2", "cosine"):
+        got = {(r["query_id"], r["node_id"]): round(r["distance"], 9) for r in search.vector_search_many(v, queries, 5, metric, block=16, query_block=4).collect()}
+        assert len(got) == 9 * 5
+        for q in queries.where("node_id in (0, 21, 56)").collect():
+            want = sorted(round(r["distance"], 9) for r in search.vector_search(v, list(q["embedding"]), 5, metric).collect())
+            assert sorted(x for (i, _), x in got.items() if i == q["node_id"]) == want

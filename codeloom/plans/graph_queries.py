@@ -458,10 +458,8 @@ def _first_hashes(spark, d):
     "select coalesce(k.path, w.path) path, case when k.path is null then 'new' when w.path is null then 'deleted' else 'changed' end as status from k full join w on k.path = w.path where k.path is null or w.path is null or k.h is distinct from w.h"
 ))
 def snapshot_diff(spark, d):
-    # two states of the file table: first indexing and current rows, each without some paths so that files appear and disappear
-    old = _first_hashes(spark, d).where("length(path) % 7 <> 0")
-    new = graph(spark, d).files.where("length(path) % 11 <> 0")
-    return M.snapshot_diff(old, new)
+    # two states of the file table, both whole: first indexing and current rows
+    return M.snapshot_diff(_first_hashes(spark, d), graph(spark, d).files)
 
 
 @R.query("upsert_files", sql(

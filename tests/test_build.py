@@ -275,3 +275,17 @@ def test_long_texts_are_classified(spark, tmp_path):
     rows = [(1, "how to " + "parse " * 60), (2, "update_node"), (3, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {(r["bucket"], r["n"], r["share"]) for r in usage_queries.query_classify(spark, str(tmp_path)).collect()} == {("concept-nl", 1, 50.0), ("kw-single", 1, 50.0)}
+
+
+def test_snapshot_query_takes_every_path(spark, tmp_path):
+    from codeloom.plans import graph_queries
+
+    paths = ["a" * 7, "b" * 11, "c" * 77, "d"]  # lengths divisible by 7, by 11, by both and by neither
+    rows = [(i, p, f"h{t}" if p != "b" * 11 else "same", t, "python", t) for i, p in enumerate(paths) for t in (1, 2)]
+    spark.createDataFrame(rows, S.FILES).write.parquet(str(tmp_path / "files.parquet"))
+    for name, kind in (("nodes", S.NODES), ("edges", S.EDGES)):
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert {tuple(r) for r in graph_queries.snapshot_diff(spark, str(tmp_path)).collect()} == {("a" * 7, "changed"), ("c" * 77, "changed"), ("d", "changed")}
+    old = spark.createDataFrame([("a" * 7, "1"), ("b" * 11, "1")], "path string, content_hash string")
+    new = spark.createDataFrame([("a" * 7, "1"), ("c" * 77, "1")], "path string, content_hash string")
+    assert {tuple(r) for r in mutation.snapshot_diff(old, new).collect()} == {("b" * 11, "deleted"), ("c" * 77, "new")}

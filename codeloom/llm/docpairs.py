@@ -1,15 +1,20 @@
 """Functions paired with their documentation.
 
-Code is cut into coarse tokens (comment blocks, annotations, function headers, string
-statements, runs of other lines, closings) and parsed with an ambiguous island grammar
-by the generalised LL parser, which skips what does not fit: truncated and
-broken code still gives its functions. The derivation says which comments lead a
-function and which string opens its body. Only the sequence of token kinds matters,
-so parses are kept by that sequence.
-
-The documentation is then reduced to its descriptive sentences. Short sentences that the
-corpus repeats are templates: sentence hashes are counted over all functions
-with map-side combine, and functions with nothing else are dropped.
+A text is cut into tokens: comment blocks, string statements, annotations, runs of
+lines that cannot start a function (water), and, for every line that might, its single
+words, brackets and marks. An island grammar over these tokens says what a function
+header is in the common languages (modifiers, keyword, name, parameters with nested
+brackets, result type, opening mark), which comments lead it and which string opens its
+body. The generalised LL parser takes the cheapest derivation: water costs little, a
+function keyword outside a header costs more, and a bracket that is never closed is put in where
+a line ends, so a broken header loses its own rest and not the functions behind it.
+Function bodies are not nested in the grammar: every item has a bounded length and parsing takes
+time in proportion to the text. Only the sequence of token kinds matters, so parses are kept by that sequence.
+
+The documentation is then reduced to its descriptive sentences. What the corpus repeats is
+template text: the hashes of all sentences, of any length, are counted over all documented functions with
+map-side combine; a sentence that surely stands in more than ``template_share`` of them is
+dropped, and functions with nothing else with it.
 """
 
 from __future__ import annotations
@@ -18,149 +23,236 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.gll import parse
+from codeloom.llm.gll import Parser
 from codeloom.storage import Scratch
 
-# token kinds: C comment, A annotation, H header, S string statement, B other lines, E closing
+# Token kinds. Lines: C comment, S string statement, A annotation, W other lines (water).
+# Inside a line that may start a function: L its start, M modifier, K function keyword, V const/let/var, N other word,
+# X control word, the brackets ( ) [ ] { }, the marks < > : ; = . , g (=> and ->), s string, o anything else.
+_WITHIN = "MVXNLSCWA<>:=.,gso"
+_LINE_KINDS = "LCSWA"
 GRAMMAR = {
     "File": [("Items",)],
     "Items": [(), ("Items", "Item")],
-    "Item": [("Lead", "Hhead", "Body"), ("Loose",)],
+    "Item": [("Lead", "Lhead", "Head", "Doc"), ("!1:C", "Ccomment"), ("[WA]",), (f"?1:L{_WITHIN.replace('C', '')};(){{}}[]",), ("?5:K",)],
     "Lead": [(), ("Lead", "Clead"), ("Lead", "A")],
-    "Body": [("Doc", "Stmts")],
-    "Doc": [(), ("Sdoc",)],
-    "Stmts": [(), ("Stmts", "B"), ("Stmts", "S"), ("Stmts", "C"), ("Stmts", "A"), ("Stmts", "E")],
-    "Loose": [("?",)],
-}
-
-_HEADER = re.compile(
-    r"^\s*(?:(?:export|default|pub(?:\([^)]*\))?|public|private|protected|internal|static|final|async|override|virtual|abstract|unsafe|extern|inline|const|sealed|synchronized|native|local|suspend)\s+)*"
-    r"(?:(?:async\s+)?def\s+[\w.]+|function\b\s*\*?\s*\w*|func\b|fn\s+\w+|fun\s+\w+|sub\s+\w+)"
-    r"|^\s*(?:(?:public|private|protected|internal|static|final|async|override|virtual|abstract|unsafe|extern|inline|sealed|synchronized|native)\s+)+[^=;]*\("
-    r"|^\s*(?:export\s+)?(?:const|let|var)\s+\w+\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::\s*[\w<>\[\]| ]+)?=>|\w+\s*=>)"
-    r"|^\s*(?!(?:if|for|while|switch|catch|return|else|do|try|with|match|throw|new|raise|elif|except|unless|until|when|case|await|yield|assert|print|using|lock|defer|go|select)\b)(?:[\w<>\[\],:&*?.]+\s+[*&]*)*[\w~]+\s*\([^;{}=]*\)\s*(?:throws\s[\w., ]+|const|noexcept|->\s*[\w<>:& ]+|:\s*[\w<>\[\]| ,]+)?\s*\{"
+    "Head": [
+        ("Mods", "K", "Name", "Params", "Tail"),  # def f(..), function f(..), fn f<T>(..)
+        ("Mods", "K", "Name", f"!0:{_LINE_KINDS};{{}}", "Tail"),  # a header without parameters
+        ("Mods", "K", "Params", "Name", "Params", "Tail"),  # a method with a receiver
+        ("Mods", "K", "Params", "Tail"),  # a function without a name
+        ("Mods", "V", "Nname", "Type", "=", "Mods", "Value"),  # a name that is given a function
+        ("Mods", "Words", "Nname", "Closed", "Ends", "{", "Tail"),  # T f(..) { and f(..) {
+        ("Mods", "Words", "Nname", "Closed", "Ends", "L", "{", "Tail"),
+        ("M", "Mods", "Words", "Nname", "Params", "Ends", f"!0:{_LINE_KINDS}"),
+    ],
+    "Mods": [(), ("Mods", "M")],
+    "Words": [(), ("Words", "[N<>:.,o]"), ("Words", "[", "]")],
+    "Name": [("Nname",), ("Name", ".", "Nname"), ("Name", ":", ":", "Nname"), ("Name", "<", "Angle", ">"), ("<", "Angle", ">", "Nname")],
+    "Angle": [(), ("Angle", "[NMKVXo:.,=gs]"), ("Angle", "[", "Angle", "]"), ("Angle", "<", "Angle", ">")],
+    "Value": [("Params", "Type", "g", "Tail"), ("N", "g", "Tail"), ("K", "Params", "Tail"), ("K", "Name", "Params", "Tail")],
+    "Type": [(), ("Type", "[:NMo.,<>s]"), ("Type", "[", "Within", "]")],
+    "Params": [("Closed",), ("(", "Within", f"!3:{_LINE_KINDS}{{;")],  # a bracket that is not closed costs 3
+    "Closed": [("(", "Within", ")")],
+    "Within": [(), ("Within", f"[{_WITHIN}]"), ("Within", "Closed"), ("Within", "[", "Within", "]"), ("Within", "{", "Within", "}"), ("Within", "?4:K")],
+    "Ends": [(), ("Ends", "[NM.,<>:ogs]"), ("Ends", "[", "Within", "]"), ("Ends", "Closed")],
+    "Tail": [(), ("Tail", "[MVXNKso<>:;=.,g(){}]"), ("Tail", "["), ("Tail", "]")],
+    "Doc": [(), ("Gap", "Sdoc")],
+    "Gap": [(), ("Gap", "C")],
+}
+_PARSER = Parser(GRAMMAR, "File")
+
+# Words of the common languages.
+_MODIFIERS = "export default public private protected internal static final async override virtual abstract unsafe extern inline sealed synchronized native local suspend open operator partial readonly constexpr explicit friend".split()
+_KEYWORDS = "def function func fn fun sub".split()
+_CONTROL = "if for while switch catch return else do try with match throw new raise elif except unless until when case await yield delete assert print using lock defer go select end begin rescue ensure loop foreach import from typedef struct class enum interface namespace".split()
+_NAMERS = "const let var val".split()
+
+_ANY = "|".join
+_STARTS = re.compile(
+    rf"^\s*(?:(?:{_ANY(_MODIFIERS)}|pub(?:\([^)]*\))?|{_ANY(_NAMERS)})\s+)*(?:{_ANY(_KEYWORDS)})\b(?!\s*[.=:,;)\]])|[;}}]\s*(?:async\s+)?function\b"
+    rf"|^\s*(?:export\s+)?(?:{_ANY(_NAMERS)})\s[^=]*=\s*(?:async\b|function\b|\(|\w+\s*=>)"
+    rf"|^\s*(?:{_ANY(_MODIFIERS)})\s[^=;]*\("
 )
+_CALL_LIKE = re.compile(rf"^\s*(?!(?:{_ANY(_CONTROL)})\b)[\w~][\w<>\[\],:&*?.~ \t]*\(")
+_TOKEN = re.compile(
+    r"""(?P<s>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)|(?P<c>//[^\n]*|/\*.*?\*/|(?<=\s)\#[^\n]*)|(?P<p>pub\([^)\n]*\))|(?P<w>[^\W\d]\w*[?!]?)|(?P<g>=>|->)|(?P<m>[()\[\]{}<>:;=.,])|\s+|(?P<o>.)"""
+)
+_WORD_KIND = {**dict.fromkeys(_MODIFIERS, "M"), "pub": "M", **dict.fromkeys(_KEYWORDS, "K"), **dict.fromkeys(_NAMERS, "V"), **dict.fromkeys(_CONTROL, "X")}
 _LINE_COMMENT = re.compile(r"^\s*(?://|#(?!\s*(?:include|define|ifn?def|if|endif|else|elif|pragma|undef|region|endregion)\b|\[|!\[)|--(?!\w))")
 _ANNOTATION = re.compile(r"^\s*(?:@\w[\w.]*(?:\([^\n]*\))?|#!?\[[^\n]*\]|\[\w[^\n]*\]|template\s*<[^\n]*>)\s*$")
 _STRING_STMT = re.compile(r"^\s*[rRuUbB]{0,2}(\"\"\"|'''|\"|')")
 
 
-def tokens(code: str) -> tuple[str, list[str]]:
-    """(kinds, texts) of the coarse tokens of a text, read whole; runs of other lines are one token."""
-    kinds: list[str] = []
-    texts: list[list[str]] = []
+class Token(NamedTuple):
+    kind: str
+    line: int
+    text: str
 
-    def put(kind: str, line: str, join: bool = False) -> None:
-        if join and kinds and kinds[-1] == kind:
-            texts[-1].append(line)
-        else:
-            kinds.append(kind)
-            texts.append([line])
 
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
+def _block_end(lines: list[str], at: int, first: str, close: str) -> int:
+    """The last line of a comment or string that is open after ``first``.
+
+    One that is never closed ends before the next line that starts a function, unless the text was cut inside it. So does a string with such a line
+    further to the left than itself, and a comment in which another begins behind such a line: the mark that closes them is not their own.
+    """
+    if close in first:
+        return at
+    function = None
+    for j in range(at + 1, len(lines)):
+        line = lines[j]
+        if function is None and _STARTS.match(line):
+            function = j
+            if close[0] in "\"'" and _indent(line) < _indent(lines[at]):
+                return j - 1
+        if function is not None and close == "*/" and line.lstrip().startswith("/*"):
+            return function - 1
+        if close in line:
+            return j
+    cut = lines[-1].rstrip().endswith("...")
+    return len(lines) - 1 if cut or function is None else function - 1
+
+
+def tokens(code: str) -> list[Token]:
+    """The tokens of a text, read whole."""
+    out: list[Token] = []
     lines = code.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    i, gap = 0, False
+    i, gap, depth = 0, False, 0
     while i < len(lines):
         line = lines[i]
         s = line.strip()
         if not s:
             gap, i = True, i + 1
             continue
+        last = out[-1] if out else None
         if s.startswith(("/*", "<!--", "=begin", "{-")):
             close = "*/" if s[0] == "/" else "-->" if s[0] == "<" else "=end" if s[0] == "=" else "-}"
-            j = i
-            first = s[2:] if s[0] in "/{" else s[4:]
-            if close not in first:
-                j += 1
-                while j < len(lines) and close not in lines[j]:
-                    j += 1
-            block = lines[i : j + 1]
-            tail = block[-1].split(close, 1)
-            put("C", "\n".join(block[:-1] + [tail[0] + (close if len(tail) > 1 else "")]))
-            i = j + 1
+            end = _block_end(lines, i, s[2:] if s[0] in "/{" else s[4:], close)
+            block = lines[i : end + 1]
+            tail = block[-1].split(close, 1) if end > i or close in s[2:] else [block[-1]]
+            out.append(Token("C", i, "\n".join(block[:-1] + [tail[0] + (close if len(tail) > 1 else "")])))
+            i = end + 1
             if len(tail) > 1 and tail[1].strip():
-                lines[i - 1] = tail[1]
                 i -= 1
+                lines[i] = tail[1]
         elif _LINE_COMMENT.match(line):
-            put("C", line, join=not gap and bool(kinds) and kinds[-1] == "C" and bool(_LINE_COMMENT.match(texts[-1][-1])))
+            if last and last.kind == "C" and not gap and _LINE_COMMENT.match(last.text.rsplit("\n", 1)[-1]):
+                out[-1] = Token("C", last.line, last.text + "\n" + line)
+            else:
+                out.append(Token("C", i, line))
             i += 1
         elif (m := _STRING_STMT.match(line)) and (len(m.group(1)) == 3 or re.fullmatch(r"[rRuUbB]{0,2}(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')\s*;?", s)):
-            j, mark = i, m.group(1)
-            if len(mark) == 3 and s[s.index(mark) + 3 :].find(mark) < 0:
-                j += 1
-                while j < len(lines) and mark not in lines[j]:
-                    j += 1
-            put("S", "\n".join(lines[i : j + 1]))
-            i = j + 1
-        elif _ANNOTATION.match(line):
-            put("A", line)
-            i += 1
-        elif _HEADER.match(line):
-            j, depth = i, line.count("(") - line.count(")")
-            while depth > 0 and j + 1 < len(lines) and j - i < 200:
-                j += 1
-                depth += lines[j].count("(") - lines[j].count(")")
-            put("H", "\n".join(lines[i : j + 1]))
-            i = j + 1
-        elif re.fullmatch(r"[})\];,]+|end", s):
-            put("E", line, join=True)
+            mark = m.group(1)
+            end = _block_end(lines, i, s[s.index(mark) + 3 :], mark) if len(mark) == 3 else i
+            out.append(Token("S", i, "\n".join(lines[i : end + 1])))
+            i = end + 1
+        elif _ANNOTATION.match(line) and depth == 0:
+            out.append(Token("A", i, line))
             i += 1
         else:
-            put("B", line, join=True)
+            starts = bool(_STARTS.search(line))
+            if starts:
+                depth = 0
+            follows = lines[i + 1].lstrip() if i + 1 < len(lines) else ""
+            if depth > 0 or starts or s == "{" or (_CALL_LIKE.match(line) and (s.endswith(("{", "(", ",")) or follows.startswith("{"))):
+                depth = max(0, depth + _fine(line, i, out))
+            elif not (last and last.kind == "W"):
+                out.append(Token("W", i, ""))
             i += 1
         gap = False
-    return "".join(kinds), ["\n".join(t) for t in texts]
-
-
-@lru_cache(maxsize=100_000)
-def structure(kinds: str) -> list[tuple[tuple[int, ...], int, int | None]]:
-    """(leading comment tokens, header token, docstring token) of each function of a token sequence, by a least-error parse."""
-    got = parse(GRAMMAR, "File", kinds)
-    out, lead, head, doc = [], [], None, None
-    for mark, at in got[1] if got else ():
-        if mark == "lead":
-            if head is not None:
-                out.append((tuple(lead), head, doc))
-                lead, head, doc = [], None, None
-            lead.append(at)
-        elif mark == "head":
-            if head is not None:
-                out.append((tuple(lead), head, doc))
-                lead, doc = [], None
-            head = at
-        else:
-            doc = at
-    if head is not None:
-        out.append((tuple(lead), head, doc))
     return out
 
 
-def functions(code: str | None) -> list[tuple[str, str, str]]:
-    """(leading comment, header, docstring) of each function of a text; broken parts are skipped."""
+def _fine(line: str, at: int, out: list[Token]) -> int:
+    """Puts the words and marks of a line to the tokens; the number of round brackets it leaves open."""
+    out.append(Token("L", at, line))
+    depth, before = 0, "L"
+    for m in _TOKEN.finditer(line):
+        group = m.lastgroup
+        if group is None or group == "c":
+            continue
+        kind = {"s": "s", "p": "M", "g": "g", "o": "o"}.get(group) or (_WORD_KIND.get(m.group(), "N") if group == "w" else m.group())
+        if kind in "MKVX" and before in "K.N>]" and kind != "M" or (kind == "M" and before in "K."):
+            kind = "N"  # the word stands where a name does
+        if kind == "K" and before in ";}":
+            out.append(Token("L", at, line))
+        depth += (kind == "(") - (kind == ")")
+        out.append(Token(kind, at, m.group()))
+        before = kind
+    return depth
+
+
+class Function(NamedTuple):
+    """A function of a text: its leading comments, header line, name, the string that opens its body, and its first token."""
+
+    lead: str
+    header: str
+    name: str
+    doc: str
+    first: int
+
+
+@lru_cache(maxsize=50_000)
+def structure(kinds: str) -> tuple[tuple[str, int], ...]:
+    """The marks (lead, head, name, doc, comment) and their tokens in the cheapest derivation of a token sequence."""
+    got = _PARSER.parse(kinds)
+    return got[1] if got else ()
+
+
+def _parsed(code: str | None) -> tuple[str, list[Function]]:
+    """The comment at the very start of a text, and its functions."""
     if not code:
-        return []
-    kinds, texts = tokens(code)
-    return [("\n".join(texts[i] for i in lead), texts[head], texts[doc] if doc is not None else "") for lead, head, doc in structure(kinds)]
+        return "", []
+    found = tokens(code)
+    start, n, lead, out = [], 0, [], []
+    head, names, doc = None, [], None
+
+    def done() -> None:
+        if head is not None:
+            name = found[names[-1]].text if names else ""
+            out.append(Function("\n".join(found[k].text for k in lead), found[head].text, name, found[doc].text if doc is not None else "", (lead or [head])[0]))
+
+    for mark, at in structure("".join(t.kind for t in found)):
+        if mark in ("lead", "comment") and at == n and len(found) > 1:
+            start.append(found[at].text)
+            n += 1
+        if mark == "comment":
+            continue
+        if mark == "name":
+            names.append(at)
+        elif mark == "doc":
+            doc = at
+        else:
+            if head is not None:  # the marks of the next function begin
+                done()
+                lead, head, names, doc = [], None, [], None
+            if mark == "lead":
+                lead.append(at)
+            else:
+                head = at
+    done()
+    return "\n".join(start), out
+
+
+def functions(code: str | None) -> list[Function]:
+    """The functions of a text in order; broken parts are skipped. Null and empty texts have none."""
+    return _parsed(code)[1]
 
 
 def node_docs(code: str | None) -> list[str]:
-    """The documentation inside the code of one function: the comment at its very start and the string that opens its body."""
-    if not code:
-        return []
-    kinds, texts = tokens(code)
-    out = []
-    n = len(kinds) - len(kinds.lstrip("C"))
-    if n and n < len(kinds):
-        out.append("\n".join(texts[:n]))
-    if "S" in kinds:
-        found = structure(kinds)
-        if found and found[0][2] is not None:
-            out.append(texts[found[0][2]])
-    return out
+    """The documentation inside the code of one function: the comment at its very start and the string that opens the body of its first function, both as the parser derives them."""
+    start, found = _parsed(code)
+    return [x for x in (start, found[0].doc if found else "") if x]
 
 
 # --- what counts as a description -------------------------------------------------
@@ -231,6 +323,19 @@ def plain_lines(doc: str) -> list[str]:
     return out
 
 
+def _split(lines: list[str]) -> list[str]:
+    """The sentences of plain lines; a blank line ends one."""
+    out = []
+    for block in re.split(r"\n\s*\n", "\n".join(lines)):
+        out += [x.strip() for x in re.split(r"(?<=[.!?])\s+|(?<=[。！？])", " ".join(block.split()))]
+    return [x for x in out if x]
+
+
+def all_sentences(doc: str | None) -> list[str]:
+    """Every sentence of a documentation, whatever it says: what templates are counted over."""
+    return _split(plain_lines(doc)) if doc and doc.strip() else []
+
+
 def sentences(doc: str | None) -> list[str]:
     """The sentences of a documentation that can describe: no code, to-do notes, licence lines, directives, placeholders or references."""
     if not doc or not doc.strip():
@@ -241,14 +346,7 @@ def sentences(doc: str | None) -> list[str]:
     if sum(code) * 3 >= sum(map(bool, lines)):  # code put into comments: what stands between it is no sentence unless it ends like one
         lines = [x if re.search(r"[.!?。！？]\W*$", x) else "" for x in lines]
     lines = ["" if x and (c or _DIRECTIVE.match(x)) else x for x, c in zip(lines, code)]
-    out = []
-    for block in re.split(r"\n\s*\n", "\n".join(lines)):
-        text = " ".join(block.split())
-        for s in re.split(r"(?<=[.!?])\s+|(?<=[。！？])", text):
-            s = s.strip()
-            if s:
-                out.append(s)
-    for s in out:
+    for s in _split(lines):
         s = re.sub(r"(?i)^\W*(?:note|nb|important|warning|info|hint|remark)\s*[:：]\s*", "", s)
         if s and not (_TODO.match(s) or _LICENCE.search(s) or _DIRECTIVE.match(s) or _PLACEHOLDER.match(s) or _REFERENCE.match(s)):
             kept.append(s)
@@ -278,41 +376,48 @@ def _key(sentence: str) -> int:
     return int.from_bytes(hashlib.blake2b(" ".join(w.lower() for w in re.findall(r"\w+", sentence)).encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _read(nodes: DataFrame, template_words: int) -> DataFrame:
-    """A row for each function with a describing sentence; keys has the hashes of its sentences where all are short."""
+def _read(nodes: DataFrame) -> DataFrame:
+    """A row for each function with documentation: its description, the hashes of all its sentences and of those that describe."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, name, code, doc in zip(b["id"], b["name"], b["code_content"], b["doc_comment"]):
-                found = [s for t in (doc, *node_docs(code)) for s in sentences(t)]
-                good = [(n, s) for n, s in ((describes(s, name), s) for s in dict.fromkeys(found)) if n]
-                if good:
-                    sure = any(n > template_words for n, _ in good)
-                    rows.append((i, " ".join(dict.fromkeys(found)), sure, [] if sure else [_key(s) for _, s in good]))
-            yield pd.DataFrame(rows, columns=["node_id", "description", "sure", "keys"]).astype({"node_id": "int64", "sure": "bool"})
+                docs = [t for t in (doc, *node_docs(code)) if t and t.strip()]
+                every = dict.fromkeys(s for t in docs for s in all_sentences(t))
+                if every:
+                    found = list(dict.fromkeys(s for t in docs for s in sentences(t)))
+                    good = [_key(s) for s in found if describes(s, name)]
+                    rows.append((i, " ".join(found), [_key(s) for s in {**every, **dict.fromkeys(found)}], good))
+            yield pd.DataFrame(rows, columns=["node_id", "description", "all_keys", "keys"]).astype({"node_id": "int64"})
 
     texts = nodes.where(F.col("type").isin("function", "method") & F.col("id").isNotNull()).select("id", "name", "code_content", "doc_comment")
-    return texts.mapInPandas(read, "node_id long, description string, sure boolean, keys array<long>")
+    return texts.mapInPandas(read, "node_id long, description string, all_keys array<long>, keys array<long>")
 
 
-def descriptions(nodes: DataFrame, template_words: int = 8, template_share: float = 0.001, template_least: int = 5) -> DataFrame:
+def descriptions(nodes: DataFrame, template_share: float = 0.01, template_least: int = 5) -> DataFrame:
     """(node_id, description) of the functions and methods with a description, one row an id.
 
-    A sentence of at most ``template_words`` words is a template where at least ``template_least`` functions and ``template_share`` of all
-    documented ones have it. Null, empty and blank code or comments give nothing; names may be null; extra columns are ignored.
+    Every sentence is counted, in all documented functions. It is a template where at least ``template_least`` of them have it and the
+    lower bound of its share (Wilson, two standard errors) is ``template_share`` or more, so that a small collection drops none by chance.
+    Null, empty and blank code or comments give nothing; names may be null; extra columns are ignored. Of several rows of one id the one
+    with the first description in order counts.
     """
-    got = Scratch(nodes.sparkSession).save(_read(nodes, template_words))
-    short = got.where("not sure").select("node_id", F.explode("keys").alias("key")).distinct()
-    least = max(template_least, got.count() * template_share)
-    templates = short.groupBy(F.col("key").alias("_t")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.lit(least)).drop("n")
-    kept = short.join(templates, F.col("key") == F.col("_t"), "left_anti").select(F.col("node_id").alias("_id")).distinct()
-    sure = got.where("sure").select("node_id", "description")
-    return sure.unionByName(got.where("not sure").select("node_id", "description").join(kept, F.col("node_id") == F.col("_id"), "left_semi")).dropDuplicates(["node_id"])
+    got = Scratch(nodes.sparkSession).save(_read(nodes))
+    each = got.select("node_id", F.explode("all_keys").alias("key")).groupBy("key").agg(F.count_distinct("node_id").alias("n"))
+    total = F.lit(float(got.select("node_id").distinct().count()))
+    z, share = 2.0, F.col("n") / total
+    low = (share + z * z / (2 * total) - z * F.sqrt(share * (1 - share) / total + z * z / (4 * total * total))) / (1 + z * z / total)
+    templates = each.where((F.col("n") >= template_least) & (low >= template_share)).select(F.col("key").alias("_t"))
+    good = got.where(F.size("keys") > 0).select("node_id", "description", "keys")
+    hit = good.select("node_id", F.explode("keys").alias("key")).join(templates, F.col("key") == F.col("_t"), "left_anti")
+    kept = hit.select(F.col("node_id").alias("_id")).distinct()
+    out = good.select("node_id", "description").join(kept, F.col("node_id") == F.col("_id"), "left_semi")
+    return out.groupBy("node_id").agg(F.min("description").alias("description"))
 
 
 def documented(nodes: DataFrame, **parameters) -> DataFrame:
-    """(node_id, name, signature, code, description): functions and methods paired with their plain description."""
-    functions_ = nodes.where(F.col("type").isin("function", "method")).select(F.col("id").alias("_n"), "name", "signature", F.col("code_content").alias("code"))
-    one = functions_.dropDuplicates(["_n"])
-    return descriptions(nodes, **parameters).join(one, F.col("node_id") == F.col("_n")).select("node_id", "name", "signature", "code", "description")
+    """(node_id, name, signature, code, description): functions and methods paired with their plain description; of several rows of one id the least counts."""
+    rows = nodes.where(F.col("type").isin("function", "method")).select(F.col("id").alias("_n"), F.struct("name", "signature", F.col("code_content").alias("code")).alias("_v"))
+    one = rows.groupBy("_n").agg(F.min("_v").alias("_v"))
+    return descriptions(nodes, **parameters).join(one, F.col("node_id") == F.col("_n")).select("node_id", "_v.*", "description")

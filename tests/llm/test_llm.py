@@ -145,8 +145,10 @@ def test_near_duplicates_against_all_pairs(spark):
 
 def test_parser_finds_least_errors():
     assert gll.parse({"S": [("S", "S"), ("ax",), ()]}, "S", "aa") == (0, (("x", 0), ("x", 1)))
-    cost, marks = gll.parse(docpairs.GRAMMAR, "File", "BCAHSBE")
-    assert cost == 1 and marks == (("lead", 1), ("head", 3), ("doc", 4))
+    cost, marks = gll.parse(docpairs.GRAMMAR, "File", "WCALKN(N:N)gN:SW")
+    assert cost == 0 and marks == (("lead", 1), ("head", 3), ("name", 5), ("doc", 14))
+    cost, marks = gll.parse(docpairs.GRAMMAR, "File", "LKN(N:LKN(N):")  # the first bracket stays open
+    assert cost == 3 and [m for m, _ in marks] == ["head", "name", "head", "name"]
     assert gll.parse({"S": [("a",)]}, "S", "b") is None
 
 
@@ -154,11 +156,37 @@ BROKEN = "}} stray {\n# Reads the whole file into memory first.\ndef load(path):
 
 
 def test_functions_of_broken_code():
-    (lead, head, doc), *_ = docpairs.functions(BROKEN)
-    assert "whole file" in lead and head.strip().startswith("def load") and "Loads what" in doc
+    first, *_ = docpairs.functions(BROKEN)
+    assert "whole file" in first.lead and first.header.strip().startswith("def load") and "Loads what" in first.doc and first.name == "load"
     assert docpairs.functions(None) == [] and docpairs.functions("") == []
 
 
+@pytest.mark.parametrize(
+    "code,names",
+    [
+        ("def f(x:\n# Adds the two numbers given to it.\ndef g(a, b):\n    return a\n", ["f", "g"]),
+        ("function a( {\n  return 1;\n}\n/** Walks the whole tree. */\nfunction b() {\n  return 2;\n}\n", ["a", "b"]),
+        ('def f():\n    """Never closed\n    x = 1\ndef g():\n    """Closed."""\n', ["f", "g"]),
+        ("/* never closed\nfunction a() {\n}\n", ["a"]),
+        ("x(function() { return 1; });\nfoo(a,\n  b);\nif (q) {\n}\n", []),
+        ("public static <T> void put(Map<String, int[]> m,\n    int n) throws E {\n}\nvoid g(int x)\n{\n}\n", ["put", "g"]),
+        ("func (s *Store) Get(k string) (int, error) {\n}\nconst h = async (x) => {\n};\nfn new<T: A>(x: &'a T) -> B {\n}\ndef select\nend\n", ["Get", "h", "new", "select"]),
+    ],
+)
+def test_functions_behind_open_brackets(code, names):
+    assert [f.name for f in docpairs.functions(code)] == names
+
+
+def test_parsing_time_grows_with_the_text():
+    import time
+
+    code = "x = foo(bar, 1)\n" * 500 + "/* doc */ function q(a, b) {\n" * 900 + "foo(a,\n" * 300
+    assert len(docpairs.tokens(code)) >= 10_000
+    begin = time.perf_counter()
+    docpairs.functions(code)
+    assert time.perf_counter() - begin < 5  # about half a second on one core
+
+
 DESCRIBED = [
     ("/**\n * Walk every package below policy and collect the outer ones.\n * @param x\n */", "f"), ("# 读取索引文件并返回所有尚未处理的节点列表。", "f"), ("// TODO: tidy up.\n// The branch is kept in memory until 9 seconds pass.", "f"),
     ("@internal\nReturns true if the value was already seen.", "f"), ("/// <summary>\n/// Prüft, ob der Eintrag seit dem letzten Lauf geändert wurde.\n/// </summary>", "f"),
@@ -180,7 +208,7 @@ def test_no_descriptions(doc, name):
 
 
 def test_pairs_drop_repeated_templates(spark):
-    rows = [{"id": i, "type": "function", "name": f"f{i}", "doc_comment": "# Please consult the wiki pages."} for i in range(20)]
+    rows = [{"id": i, "type": "function", "name": f"f{i}", "doc_comment": "# Please consult the wiki pages of the team before any of this code is changed."} for i in range(20)]
     rows += [{"id": 50, "type": "method", "name": "g", "code_content": BROKEN}, {"id": 51, "type": "class", "doc_comment": "Walks the tree and prints every node."}, {"id": None, "type": "function", "doc_comment": "Walks the tree and prints every node."}]
     assert [r["node_id"] for r in docpairs.documented(nodes(spark, rows + rows[-3:-2])).collect()] == [50]
     assert docpairs.documented(nodes(spark, rows).limit(0)).count() == 0

@@ -405,7 +405,7 @@ def descriptions(nodes: DataFrame, template_share: float = 0.01, template_least:
     """
     got = Scratch(nodes.sparkSession).save(_read(nodes))
     each = got.select("node_id", F.explode("all_keys").alias("key")).groupBy("key").agg(F.count_distinct("node_id").alias("n"))
-    total = F.lit(float(got.select("node_id").distinct().count()))
+    total = F.lit(float(max(1, got.select("node_id").distinct().count())))
     z, share = 2.0, F.col("n") / total
     low = (share + z * z / (2 * total) - z * F.sqrt(share * (1 - share) / total + z * z / (4 * total * total))) / (1 + z * z / total)
     templates = each.where((F.col("n") >= template_least) & (low >= template_share)).select(F.col("key").alias("_t"))

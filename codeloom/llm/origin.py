@@ -2,18 +2,19 @@
 
 Three sources of evidence are joined per file:
 
-* repository attribute files (``.gitattributes``): ``linguist-generated`` and
-  ``linguist-vendored`` rules, resolved like the version control system does it: the
-  file in the deepest directory wins, inside one file the last matching line;
+* attribute files (``.gitattributes``): their ``linguist-generated`` and ``linguist-vendored`` rules become rows, joined with the files by
+  directory and resolved like the version control system does it: for each attribute the file in the deepest directory
+  wins, inside one file the last matching line. Below all of them lies a general attribute file (a parameter), as
+  the version control system knows one for each user; it speaks for repositories that declare nothing themselves;
 * the content of the file's nodes: generator and bundling marks in the head, line
   directives, the shape of minified code, constants that are bulk data;
-* path patterns (directory names, name suffixes) mined from the files that the first
-  two mark: a pattern is taken over where it has ``min_support`` files and at
-  least ``min_precision`` of them are marked. Well-known patterns are given as a
-  prior. A repository whose attribute files speak about a path keeps their word.
+* path patterns (directory names, name suffixes) mined from the files that declarations of repositories or content mark: for each kind of
+  origin a pattern is taken over where the lower bound of its share of marked files (Wilson, ``deviations`` standard errors) is at
+  least ``min_lift`` times that of all files, over ``min_repositories`` repositories or more. The bound makes the test
+  behave alike at every size: rare patterns need purer evidence.
 
-Pattern counts are aggregated with map-side combine and joined back by pattern;
-nothing is collected.
+A repository whose attribute files speak about a path keeps their word. Pattern counts are aggregated with map-side
+combine and joined back by pattern; nothing is gathered per repository, and only the four counts of marked files go to the driver.
 """
 
 from __future__ import annotations
@@ -22,9 +23,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.storage import Scratch
+
+KINDS = ("generated", "vendored", "minified", "data")
+
 #: Lines of the head that only a tool writes (fixed values, several languages).
 _GENERATED = re.compile(
     r"(?im)^\W*@generated\b(?! from)[^\n\"']*$|<auto-?generated>|\b(?:code|file|source|module|class) (?:was |is |has been )?(?:automatically |auto-?)?generated (?:by|from|with)\b"
@@ -46,14 +51,51 @@ _OWNED = re.compile(
 )
 _DIRECTIVE = re.compile(r"(?m)^\s*(?://|#|/\*|--)\s*line \d+ \"[^\"\n]+\"")
 
-#: Path patterns known to mark such files, the prior of the mining.
-PRIOR = {
-    "dir:node_modules", "dir:bower_components", "dir:vendor", "dir:vendors", "dir:vendored", "dir:third_party", "dir:third-party", "dir:thirdparty", "dir:3rdparty", "dir:3rd_party",
-    "dir:pods", "dir:carthage", "dir:godeps", "dir:external", "dir:extern", "dir:deps", "dir:jspm_packages", "dir:site-packages", "dir:wp-includes", "dir:_vendor",
-    "dir:generated", "dir:__generated__", "dir:dist", "dir:#-version",
-    "suffix:.min", "suffix:-min", "suffix:.bundle", "suffix:.generated", "suffix:_generated", "suffix:.gen", "suffix:_gen", "suffix:_pb2", "suffix:.pb", "suffix:_pb2_grpc", "suffix:_pb", "suffix:.g",
-    "suffix:.designer", "suffix:.chunk", "suffix:.packed", "suffix:_grpc", "suffix:.pb.gw", "suffix:.prod.min",
-}
+#: Customary paths of generated and vendored files in lower case, as an attribute file.
+GENERAL_ATTRIBUTES = """
+**/node_modules/** linguist-vendored
+**/bower_components/** linguist-vendored
+**/jspm_packages/** linguist-vendored
+**/site-packages/** linguist-vendored
+**/wp-includes/** linguist-vendored
+**/vendor/** linguist-vendored
+**/vendors/** linguist-vendored
+**/vendored/** linguist-vendored
+**/_vendor/** linguist-vendored
+**/third_party/** linguist-vendored
+**/third-party/** linguist-vendored
+**/thirdparty/** linguist-vendored
+**/3rdparty/** linguist-vendored
+**/3rd_party/** linguist-vendored
+**/pods/** linguist-vendored
+**/carthage/** linguist-vendored
+**/godeps/** linguist-vendored
+**/external/** linguist-vendored
+**/extern/** linguist-vendored
+**/deps/** linguist-vendored
+**/[a-z]*[-@][0-9].[0-9]*/** linguist-vendored
+**/[a-z]*[-@][0-9][0-9].[0-9]*/** linguist-vendored
+**/[a-z]*[-@]v[0-9].[0-9]*/** linguist-vendored
+**/generated/** linguist-generated
+**/__generated__/** linguist-generated
+**/dist/** linguist-generated
+*.min.* linguist-generated
+*-min.* linguist-generated
+*.bundle.* linguist-generated
+*.chunk.* linguist-generated
+*.packed.* linguist-generated
+*.generated.* linguist-generated
+*_generated.* linguist-generated
+*.gen.* linguist-generated
+*_gen.* linguist-generated
+*.g.* linguist-generated
+*.designer.* linguist-generated
+*_pb2.* linguist-generated
+*_pb2_grpc.* linguist-generated
+*_grpc.* linguist-generated
+*_pb.* linguist-generated
+*.pb.* linguist-generated
+"""
 
 
 def _data_like(code: str) -> bool:
@@ -116,11 +158,11 @@ def glob_regex(pattern: str) -> str | None:
             out, i = out + re.escape(p[i + 1]), i + 2
         else:
             out, i = out + re.escape(p[i]), i + 1
-    return ("" if anchored else "(?:.*/)?") + out + r"\Z"
+    return ("" if anchored else "(?:.*/)?") + out + r"\z"
 
 
 def attribute_rules(text: str | None) -> list[tuple[str, str, bool]]:
-    """(regex, attribute, value) of an attribute file's lines in order; comments, blank and malformed lines are skipped."""
+    """(regular expression, attribute, value) of an attribute file's lines in order; comments, blank and malformed lines are skipped."""
     rules = []
     for line in (text or "").replace("\r", "").split("\n"):
         parts = line.strip().split()
@@ -133,19 +175,56 @@ def attribute_rules(text: str | None) -> list[tuple[str, str, bool]]:
     return rules
 
 
-def declared(path: str, files: list[tuple[str, list]]) -> bool | None:
-    """What the attribute files (directory, rules) say of a path: the deepest directory with a matching rule wins, its last match counts; None if none matches."""
-    said: dict[str, bool] = {}
-    for folder, rules in sorted(files, key=lambda x: -x[0].count("/") - bool(x[0])):
-        if folder and not path.startswith(folder + "/"):
-            continue
-        below, here = path[len(folder) + 1 :] if folder else path, {}
-        for rx, attribute, value in rules:
-            if re.match(rx, below):
-                here[attribute] = value
-        for k, v in here.items():
-            said.setdefault(k, v)
-    return any(said.values()) if said else None
+def _folders(path: Column) -> Column:
+    """The directories above a path, from none (the empty name) downwards."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+
+
+def declarations(current: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, generated, vendored): what the attribute files say of the files of ``current`` (file_id, path); null where no rule of an attribute matches, no row where none does at all.
+
+    The text of an attribute file is the code of its nodes, in the order of their lines.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [
+                (f, start if start == start else 0, i, k, *rule)
+                for f, start, i, code in zip(b["file_id"], b["start_line"], b["id"], b["code_content"])
+                for k, rule in enumerate(attribute_rules(code))
+            ]
+            yield pd.DataFrame(rows, columns=["_f", "start", "node", "line", "rx", "attribute", "value"]).astype({"_f": "int64", "start": "int64", "node": "int64", "line": "int64", "value": "bool"})
+
+    texts = nodes.where(F.col("file_id").isNotNull() & F.col("id").isNotNull() & F.contains("code_content", F.lit("linguist-"))).select("file_id", F.coalesce("start_line", F.lit(0)).alias("start_line"), "id", "code_content")
+    rules = texts.mapInPandas(read, "_f long, start long, node long, line long, rx string, attribute string, value boolean")
+    homes = current.where(F.col("path").rlike(r"(^|/)\.gitattributes\z")).select(F.col("file_id").alias("_h"), F.regexp_replace("path", r"/?\.gitattributes\z", "").alias("folder"))
+    rules = rules.join(homes, F.col("_f") == F.col("_h")).drop("_f", "_h")
+    above = current.select("file_id", "path", F.posexplode(_folders(F.col("path"))).alias("depth", "_folder"))
+    below = F.expr("if(_folder = '', path, substring(path, length(_folder) + 2))")
+    hits = above.withColumn("below", below).join(rules, (F.col("_folder") == F.col("folder")) & F.expr("regexp_like(below, concat('^', rx))"))
+    last = hits.groupBy("file_id", "attribute").agg(F.max(F.struct("depth", "start", "node", "line", "value"))["value"].alias("value"))
+    said = [F.max(F.when(F.col("attribute") == a, F.col("value"))).alias(a) for a in ("generated", "vendored")]
+    return last.groupBy(F.col("file_id").alias("id")).agg(*said)
+
+
+def general(path: Column, text: str, attribute: str) -> Column:
+    """What a general attribute file says of a path below its repository, in lower case: the last matching line counts, null where none matches."""
+    out: Column = F.lit(None).cast("boolean")
+    for value, run in _runs([(rx, v) for rx, a, v in attribute_rules(text) if a == attribute]):
+        out = F.when(path.rlike("^(?:" + "|".join(run) + ")"), F.lit(value)).otherwise(out)
+    return out
+
+
+def _runs(rules: list[tuple[str, bool]]) -> list[tuple[bool, list[str]]]:
+    """Neighbouring rules of one value put together."""
+    out: list[tuple[bool, list[str]]] = []
+    for rx, value in rules:
+        if out and out[-1][0] == value:
+            out[-1][1].append(rx)
+        else:
+            out.append((value, [rx]))
+    return out
 
 
 def path_features(path: str | None) -> list[str]:
@@ -169,13 +248,15 @@ def origins(
     nodes: DataFrame,
     bulk_chars: int = 1000,
     long_line: int = 300,
-    min_support: int = 20,
-    min_precision: float = 0.8,
+    min_lift: float = 4.0,
+    deviations: float = 3.0,
+    min_repositories: int = 3,
+    general_attributes: str = GENERAL_ATTRIBUTES,
     external: str = "<external>",
 ) -> DataFrame:
-    """(file_id, path, reasons) of the files that are not hand-written; reasons is a sorted array.
+    """(file_id, path, reasons) of the files that are not hand-written; reasons is a sorted array of declared, general, the kinds of content evidence and mined patterns (``path:...``).
 
-    Every node is read whole. Null paths and null contents give no evidence; repeated
+    Every node of every type is read whole. Null paths and null contents give no evidence; repeated
     rows count once; the pseudo-file of external symbols is no file. Empty tables give no rows.
     """
 
@@ -186,60 +267,49 @@ def origins(
                 for i, kind, name, code in zip(b["file_id"], b["type"], b["name"], b["code_content"])
                 for k, o in content_evidence(kind, name, code, bulk_chars, long_line)
             ]
-            yield pd.DataFrame(rows, columns=["file_id", "kind", "owner"]).astype({"file_id": "int64"})
+            yield pd.DataFrame(rows, columns=["_f", "kind", "owner"]).astype({"_f": "int64"})
 
+    scratch = Scratch(nodes.sparkSession)
     current = current_files(files).where(F.col("path").isNotNull() & (F.col("path") != external)).select(F.col("id").alias("file_id"), "path")
-    seen = (
-        nodes.where(F.col("file_id").isNotNull() & (F.length("code_content") > 0) & F.col("type").isin("module", "function", "method", "constant"))
-        .select("file_id", "type", "name", "code_content")
-        .mapInPandas(look, "file_id long, kind string, owner string")
-        .groupBy("file_id")
-        .agg(F.collect_set(F.struct("kind", "owner")).alias("marks"))
-    )
     repo = F.lower(F.split_part("path", F.lit("/"), F.lit(1)))
-    foreign = F.filter("marks", lambda x: (x["owner"] == "") | ((x["owner"] != F.col("repo")) & ~F.startswith(F.col("repo"), F.concat(x["owner"], F.lit("-")))))
-    evident = (
-        current.join(seen, "file_id", "left")
-        .withColumn("repo", repo)
-        .withColumn("content", F.coalesce(F.array_distinct(F.transform(foreign, lambda x: x["kind"])), F.array().cast("array<string>")))
-        .select("file_id", "path", "repo", "content")
-    )
+    texts = nodes.where(F.col("file_id").isNotNull() & (F.length("code_content") > 0)).select("file_id", "type", "name", "code_content")
+    seen = texts.mapInPandas(look, "_f long, kind string, owner string").distinct()
+    foreign = (F.col("owner") == "") | ((F.col("owner") != repo) & ~F.startswith(repo, F.concat("owner", F.lit("-"))))
+    flags = [F.max(F.col("kind") == k).alias(f"c_{k}") for k in KINDS]
+    content = current.join(seen, F.col("file_id") == F.col("_f")).where(foreign).groupBy(F.col("file_id").alias("_c")).agg(*flags)
+    said = declarations(current, nodes)
 
-    # attribute files: their text is the code of their nodes
-    is_attributes = F.col("path").rlike(r"(^|/)\.gitattributes$")
-    texts = nodes.where(F.contains("code_content", F.lit("linguist-"))).groupBy("file_id", "id").agg(F.first("code_content").alias("code_content"))
-    attributes = (
-        current.where(is_attributes)
-        .join(texts, "file_id")
-        .withColumn("_repo", repo)
-        .groupBy("_repo")
-        .agg(F.collect_list(F.struct(F.regexp_replace("path", r"/?\.gitattributes$", "").alias("folder"), "code_content")).alias("attributes"))
-    )
-    rows = evident.join(attributes, F.col("repo") == F.col("_repo"), "left").drop("_repo")
-
-    @F.pandas_udf("struct<said:boolean,features:array<string>>")
-    def read_path(path: pd.Series, attrs: pd.Series) -> pd.DataFrame:
-        known: dict[str, list] = {}
-        said, features = [], []
-        for p, a in zip(path, attrs):
-            files_ = []
-            for x in a if a is not None else []:
-                key = x["code_content"]
-                if key not in known:
-                    known[key] = attribute_rules(key)
-                files_.append((x["folder"], known[key]))
-            said.append(declared(p, files_) if files_ else None)
-            features.append(path_features(p))
-        return pd.DataFrame({"said": pd.Series(said, dtype="object"), "features": features})
-
-    rows = rows.withColumn("_p", read_path("path", "attributes")).select("file_id", "path", "content", F.col("_p.said").alias("said"), F.col("_p.features").alias("features"))
-    marked = F.coalesce("said", F.size("content") > 0)
-    each = rows.select("file_id", marked.alias("m"), F.explode("features").alias("feature"))
-    prior = F.col("feature").isin(*sorted(PRIOR))
-    mined = each.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("m").cast("long")).alias("k"))
-    mined = mined.where(prior | ((F.col("n") >= min_support) & (F.col("k") >= min_precision * F.col("n")))).select(F.col("feature").alias("_f"))
-    by_path = each.join(mined, F.col("feature") == F.col("_f"), "left_semi").groupBy(F.col("file_id").alias("_id")).agg(F.collect_set("feature").alias("patterns"))
+    @F.pandas_udf("array<string>")
+    def features_of(path: pd.Series) -> pd.Series:
+        return path.map(path_features)
+
+    below = F.lower(F.expr("substring(path, instr(path, '/') + 1)"))
+    rows = current.join(content, F.col("file_id") == F.col("_c"), "left").join(said, F.col("file_id") == F.col("id"), "left")
+    rows = rows.select(
+        "file_id", "path", repo.alias("repo"), *[F.coalesce(f"c_{k}", F.lit(False)).alias(f"c_{k}") for k in KINDS], F.col("generated").alias("d_generated"), F.col("vendored").alias("d_vendored"),
+        general(below, general_attributes, "generated").alias("g_generated"), general(below, general_attributes, "vendored").alias("g_vendored"), features_of("path").alias("features"),
+    )
+    rows = scratch.save(rows)
+
+    marks = {k: F.coalesce(f"d_{k}", f"c_{k}") if k in ("generated", "vendored") else F.col(f"c_{k}") for k in KINDS}
+    total = rows.agg(F.count(F.lit(1)).alias("all"), *[F.count_if(m).alias(k) for k, m in marks.items()]).collect()[0]
+    each = rows.select("file_id", "repo", *[m.cast("long").alias(k) for k, m in marks.items()], F.explode("features").alias("feature"))
+    counts = each.groupBy("feature", "repo").agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in KINDS])
+    counts = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("repositories"), *[F.sum(k).alias(k) for k in KINDS])
+
+    def surely(k: str) -> Column:
+        z2, n, p = deviations**2, F.col("n"), F.col(k) / F.col("n")
+        low = (p + z2 / (2 * n) - deviations * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+        return (F.col(k) > 0) & (low >= min_lift * total[k] / max(total["all"], 1))
+
+    mined = counts.where(F.col("repositories") >= min_repositories).where(surely(KINDS[0]) | surely(KINDS[1]) | surely(KINDS[2]) | surely(KINDS[3])).select(F.col("feature").alias("_f"))
+    by_path = each.select("file_id", "feature").join(mined, F.col("feature") == F.col("_f"), "left_semi").groupBy(F.col("file_id").alias("_id")).agg(F.collect_set("feature").alias("patterns"))
     out = rows.join(by_path, F.col("file_id") == F.col("_id"), "left")
-    reasons = F.concat(F.col("content"), F.coalesce(F.transform("patterns", lambda x: F.concat(F.lit("path:"), x)), F.array().cast("array<string>")))
-    reasons = F.when(F.col("said"), F.concat(F.array(F.lit("declared")), reasons)).when(~F.col("said"), F.array().cast("array<string>")).otherwise(reasons)
+    declared, denied = [F.coalesce(F.col("d_generated") == v, F.lit(False)) | F.coalesce(F.col("d_vendored") == v, F.lit(False)) for v in (True, False)]
+    by_general = F.coalesce("d_generated", "g_generated", F.lit(False)) | F.coalesce("d_vendored", "g_vendored", F.lit(False))
+    found = F.concat(
+        F.array_compact(F.array(F.when(declared, "declared"), F.when(by_general & ~declared, "general"), *[F.when(F.col(f"c_{k}"), k) for k in KINDS])),
+        F.coalesce(F.transform("patterns", lambda x: F.concat(F.lit("path:"), x)), F.array().cast("array<string>")),
+    )
+    reasons = F.when(denied & ~declared & ~by_general, F.array().cast("array<string>")).otherwise(found)
     return out.select("file_id", "path", F.array_sort(reasons).alias("reasons")).where(F.size("reasons") > 0)

@@ -72,26 +72,45 @@ def test_credentials_frame(spark):
 # --- origins -----------------------------------------------------------------------
 
 
-def test_attribute_precedence():
-    top = origin.attribute_rules("# c\n*.gen.go linguist-generated\nvendor/** linguist-vendored=true\nvendor/own/* -linguist-vendored\n\nbad\n")
-    deep = origin.attribute_rules("x.gen.go linguist-generated=false")
-    files = [("", top), ("pkg", deep)]
-    assert origin.declared("a/b.gen.go", files) is True
-    assert origin.declared("pkg/x.gen.go", files) is False
-    assert origin.declared("vendor/a/b.c", files) is True and origin.declared("vendor/own/b.c", files) is False
-    assert origin.declared("src/a.c", files) is None
+def test_attribute_precedence(spark):
+    top = "# c\n*.gen.go linguist-generated\nvendor/** linguist-vendored=true\nvendor/own/* -linguist-vendored\n\nbad\n*.txt text linguist-generated\nq.txt linguist-generated=false\n"
+    paths = ["r/.gitattributes", "r/pkg/.gitattributes", "r/a/b.gen.go", "r/pkg/x.gen.go", "r/vendor/a/b.c", "r/vendor/own/b.c", "r/src/a.c", "r/q.txt", "r/d/p.txt", "other/a/b.gen.go", "r/pkg/deep/x.gen.go", "rr/b.gen.go"]
+    files = spark.createDataFrame(list(enumerate(paths)), "file_id long, path string")
+    n = nodes(spark, [{"id": 1, "file_id": 0, "code_content": top}, {"id": 2, "file_id": 1, "code_content": "x.gen.go linguist-generated=false"}, {"id": 3, "file_id": 6, "code_content": "*.c linguist-vendored"}] * 2)
+    got = {paths[r["id"]]: (r["generated"], r["vendored"]) for r in origin.declarations(files, n).collect()}
+    assert got == {"r/a/b.gen.go": (True, None), "r/pkg/x.gen.go": (False, None), "r/vendor/a/b.c": (None, True), "r/vendor/own/b.c": (None, False), "r/q.txt": (False, None), "r/d/p.txt": (True, None), "r/pkg/deep/x.gen.go": (False, None)}
+    assert origin.declarations(files, n.limit(0)).count() == 0 == origin.declarations(files.limit(0), n).count()
+
+
+def test_patterns_are_mined_for_undeclared_repositories(spark):
+    """Declared repositories mark zork/ and *_autox; others have them too. No general attribute file, no content mark."""
+    files, rows = [], []
+    for r in range(12):
+        at = 1000 * r
+        files.append((at, f"repo{r}/.gitattributes" if r < 8 else f"repo{r}/README.md"))
+        if r < 8:
+            rows.append({"id": at, "file_id": at, "code_content": "zork/** linguist-vendored\n*_autox.* linguist-generated\n"})
+        for k in range(40):
+            files.append((at + k + 1, f"repo{r}/{'zork/' if k < 3 else 'src/'}{'m' if k % 2 else 'n'}/f{k}{'_autox' if k in (5, 6) else ''}.go"))
+    frame = spark.createDataFrame([(i, p, "h", 1, "go", 1) for i, p in files], S.FILES)
+    got = {r["path"]: r["reasons"] for r in origin.origins(frame, nodes(spark, rows), general_attributes="").collect()}
+    want = {p for _, p in files if "/zork/" in p or "_autox" in p}
+    assert set(got) == want
+    assert all(("declared" in v) == (int(p.split("/")[0][4:]) < 8) and any(x.startswith("path:") for x in v) for p, v in got.items())
+    alone = origin.origins(frame.where("path like 'repo9/%'"), nodes(spark, rows), general_attributes="")
+    assert alone.count() == 0  # without a declared repository there is nothing to mine from
 
 
 def test_origins(spark):
-    f = [(i, p, "h", 1, "go", 1) for i, p in enumerate(["<external>", "own/a.go", "own/b.go", "own/node_modules/q/c.js", "own/d.js", "own/e.go", "own/f.go", "own/vendor_portal/g.go", "zed/.gitattributes", "zed/gen/h.go", None, "own/i.go"], 1)]
+    f = [(i, p, "h", 1, "go", 1) for i, p in enumerate(["<external>", "own/a.go", "own/b.go", "own/node_modules/q/c.js", "own/d.js", "own/e.go", "own/f.go", "own/vendor_portal/g.go", "zed/.gitattributes", "zed/gen/h.go", None, "own/i.go", "own/j.go", "own/node_module/k.go", "own/x_gen.go"], 1)]
     files = spark.createDataFrame([*f, f[1], (None, "x", "h", 1, "go", 1)], S.FILES)
     m = lambda i, code, kind="module": {"id": 100 + i, "file_id": i, "type": kind, "name": "<module>", "code_content": code}
     n = nodes(spark, [
         m(2, "// Code generated by protoc-x v2.1. DO NOT EDIT."), m(3, "// Copyright (c) 2020 the own authors\n// Do not edit while a table migration runs."), m(5, "x" + "a=b(c,d);" * 200, "function"),
-        m(6, "T = [\n" + "0x1f, 0xa0, " * 300 + "]", "constant"), m(7, "T = [1, 2, 3]", "constant"), m(8, "// Wraps the vendor beacon API."), m(9, "gen/* linguist-generated"), m(12, "/* libx -- Copyright 2019 Foo Software */"), m(12, None), m(12, ""),
+        m(6, "T = [\n" + "0x1f, 0xa0, " * 300 + "]", "constant"), m(7, "T = [1, 2, 3]", "constant"), m(8, "// Wraps the vendor beacon API."), m(9, "gen/* linguist-generated"), m(12, "/* libx -- Copyright 2019 Foo Software */"), m(12, None), m(12, ""), m(11, "// @generated"), {**m(13, "x" + "a=b(c,d);" * 200, "class"), "id": 300},
     ])
     got = {r["file_id"] for r in origin.origins(files, n).collect()}
-    assert got == {2, 4, 5, 6, 10, 12}
+    assert got == {2, 4, 5, 6, 10, 12, 13, 15}
     assert origin.origins(files.limit(0), n.limit(0)).count() == 0
 
 

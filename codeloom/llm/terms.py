@@ -12,10 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.bitmaps import with_membership
+
 #: Light counts held by a task before they are sent on.
 FLUSH = 200_000
 
@@ -29,56 +32,73 @@ def _heavy(records: DataFrame, sample_one_in: int, max_heavy: int) -> list[tuple
     return [(r["field"], r["term"]) for r in top.select("field", "term").collect()]
 
 
+_COUNTS = pa.schema([("field", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("nodes", pa.int64())])
+
+
+def batch_counts(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+    """(field, distinct terms, occurrences, rows holding it) of the names and of the terms of a batch."""
+    names = batch.column("name").drop_null().dictionary_encode()
+    n = np.bincount(names.indices.to_numpy(zero_copy_only=False), minlength=len(names.dictionary)) if len(names) else np.zeros(0, np.int64)
+    yield "name", names.dictionary, n, n
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(batch.column("name_tokens")))
+    flat, rows = lists.flatten(), pc.list_parent_indices(lists)
+    filled = pc.not_equal(flat, "")
+    coded, rows = flat.filter(filled).dictionary_encode(), rows.filter(filled).to_numpy(zero_copy_only=False)
+    if len(coded):
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        size = len(coded.dictionary)
+        held = np.unique(rows.astype(np.int64) * size + codes) % size
+        yield "name_tokens", coded.dictionary, np.bincount(codes, minlength=size), np.bincount(held, minlength=size)
+
+
 def term_counts(nodes: DataFrame, sample_one_in: int = 64, max_heavy: int = 4096) -> DataFrame:
     """(field, term, occurrences, nodes) for every exact name and every lower-case term of ``name_tokens``.
 
-    An id counts once, however often its row comes; rows without an id are dropped. A
+    Of several rows of an id the least (name, name_tokens) counts; rows without an id are dropped. A
     null name is no term, an empty one is; terms are the parts between white space.
     Empty tables give no rows.
     """
     spark = nodes.sparkSession
     records = nodes.where("id is not null").select("id", "name", "name_tokens")
-    heavy = spark.sparkContext.broadcast({k: i for i, k in enumerate(_heavy(records, sample_one_in, max_heavy))})
+    found = _heavy(records, sample_one_in, max_heavy)
+    heavy = spark.sparkContext.broadcast({f: [t for g, t in found if g == f] for f in ("name", "name_tokens")})
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slot = heavy.value
-        exact = np.zeros((2, len(slot)), dtype=np.int64)
-        light: dict[tuple[str, str], list[int]] = {}
-        columns = ["field", "term", "occurrences", "nodes"]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {f: pa.array(t, pa.string()) for f, t in heavy.value.items()}
+        exact = {f: np.zeros((2, len(t)), dtype=np.int64) for f, t in known.items()}
+        light: list[pa.Table] = []
+        held = 0
 
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame([(f, t, a, b) for (f, t), (a, b) in light.items()], columns=columns).astype({"occurrences": "int64", "nodes": "int64"})
-            light.clear()
-            return out
+        def flush() -> Iterator[pa.RecordBatch]:
+            if light:
+                out = pa.concat_tables(light).group_by(["field", "term"]).aggregate([("occurrences", "sum"), ("nodes", "sum")])
+                light.clear()
+                yield from out.select(["field", "term", "occurrences_sum", "nodes_sum"]).rename_columns(_COUNTS.names).cast(_COUNTS).to_batches()
 
-        last = None
         for b in batches:
-            for i, name, tokens in zip(b["id"], b["name"], b["name_tokens"]):
-                if i == last:
-                    continue
-                last = i
-                mine: dict[tuple[str, str], int] = {}
-                if name is not None:
-                    mine["name", name] = 1
-                for t in tokens.lower().split() if tokens else ():
-                    mine["name_tokens", t] = mine.get(("name_tokens", t), 0) + 1
-                for k, n in mine.items():
-                    at = slot.get(k)
-                    if at is not None:
-                        exact[0, at] += n
-                        exact[1, at] += 1
-                    else:
-                        have = light.setdefault(k, [0, 0])
-                        have[0] += n
-                        have[1] += 1
-            if len(light) >= FLUSH:
-                yield flush()
-        yield flush()
-        met = [(f, t, int(exact[0, i]), int(exact[1, i])) for (f, t), i in slot.items() if exact[1, i]]
-        yield pd.DataFrame(met, columns=columns).astype({"occurrences": "int64", "nodes": "int64"})
-
-    once = records.repartition("id").sortWithinPartitions("id", "name", "name_tokens")
-    parts = once.mapInPandas(count, "field string, term string, occurrences long, nodes long")
+            for field, terms, occurrences, rows in batch_counts(b):
+                slot = pc.index_in(terms, known[field])
+                hot = slot.is_valid().to_numpy(zero_copy_only=False)
+                at = slot.drop_null().to_numpy(zero_copy_only=False)
+                exact[field][0, at] += occurrences[hot]
+                exact[field][1, at] += rows[hot]
+                rest = terms.filter(pa.array(~hot))
+                light.append(pa.table([pa.array([field] * len(rest), pa.string()), rest, pa.array(occurrences[~hot], pa.int64()), pa.array(rows[~hot], pa.int64())], schema=_COUNTS))
+                held += len(rest)
+            if held >= FLUSH:
+                yield from flush()
+                held = 0
+        yield from flush()
+        for f, terms in known.items():
+            met = exact[f][1] > 0
+            yield pa.record_batch([pa.array([f] * int(met.sum()), pa.string()), terms.filter(pa.array(met)), pa.array(exact[f][0][met]), pa.array(exact[f][1][met])], schema=_COUNTS)
+
+    again = records.groupBy(F.col("id").alias("_r")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_r")
+    parted = with_membership(records, F.col("id"), again, F.col("_r"), "_again")
+    once = parted.where("not _again").select("name", "name_tokens")
+    least = parted.where("_again").groupBy("id").agg(F.min(F.struct("name", "name_tokens")).alias("_v")).select("_v.name", "_v.name_tokens")
+    schema = "field string, term string, occurrences long, nodes long"
+    parts = once.mapInArrow(count, schema).unionByName(least.mapInArrow(count, schema))
     return parts.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("nodes").alias("nodes"))
 
 

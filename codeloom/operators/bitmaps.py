@@ -15,12 +15,18 @@ from pyspark.sql import functions as F
 ROW_BITS = 32768
 
 
-def maybe_in(df: DataFrame, key: Column, members: DataFrame, member: Column, bits: int = 24) -> DataFrame:
-    """The rows of ``df`` whose key may be among the members; null keys never are. An empty side gives no rows."""
+def with_membership(df: DataFrame, key: Column, members: DataFrame, member: Column, name: str, bits: int = 24) -> DataFrame:
+    """``df`` with a column ``name``: whether the key may be among the members; false for null keys and where it surely is not."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)) + 1
     m = members.where(member.isNotNull()).select(place(member).alias("_p"))
     maps = m.groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_map"))
-    at = df.where(key.isNotNull()).withColumn("_p", place(key)).withColumn("_at", F.bitmap_bit_position("_p"))
-    hit = at.join(F.broadcast(maps), F.bitmap_bucket_number("_p") == F.col("_bucket"))
+    at = df.withColumn("_p", place(key)).withColumn("_at", F.bitmap_bit_position("_p"))
+    hit = at.join(F.broadcast(maps), F.bitmap_bucket_number("_p") == F.col("_bucket"), "left")
     byte = F.conv(F.hex(F.substring("_map", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return hit.where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).drop("_p", "_at", "_bucket", "_map")
+    inside = key.isNotNull() & F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False))
+    return hit.withColumn(name, inside).drop("_p", "_at", "_bucket", "_map")
+
+
+def maybe_in(df: DataFrame, key: Column, members: DataFrame, member: Column, bits: int = 24) -> DataFrame:
+    """The rows of ``df`` whose key may be among the members; null keys never are. An empty side gives no rows."""
+    return with_membership(df, key, members, member, "_in", bits).where("_in").drop("_in")

@@ -148,15 +148,39 @@ def test_near_duplicates_against_all_pairs(spark):
     texts = variants(11)
     rows = [{"id": i, "type": "function", "code_content": t} for i, t in enumerate(texts)]
     df = nodes(spark, rows + rows[:3] + [{"id": 900, "type": "function"}, {"id": 901, "type": "method", "code_content": "too short"}, {"id": None, "type": "function", "code_content": texts[0]}])
-    members, pairs = similar.similar_functions(df)
+    band = similar.similar_functions(df)
+    members, pairs = band.members, band.similar_pairs()
     sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(shingles.words, texts)]
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
     got = {(r["node_id_a"], r["node_id_b"]) for r in similar.all_pairs(members, pairs).collect()}
     assert got <= want and len(got) >= 0.97 * len(want)
+    similar.BLOCK, held = 2, similar.BLOCK  # classes in several blocks
+    try:
+        assert {(r["node_id_a"], r["node_id_b"]) for r in similar.all_pairs(members, pairs).collect()} == got
+    finally:
+        similar.BLOCK = held
     groups = {r["node_id"]: r["group_id"] for r in similar.groups(members, pairs).collect()}
     assert all(groups[a] == groups[b] for a, b in got) and len(groups) == len(texts)
+    stars = band.star_pairs()
+    assert {r["node_id"]: r["group_id"] for r in similar.groups(members, stars).collect()} == groups and stars.count() <= pairs.count()
     empty = similar.similar_functions(df.limit(0))
-    assert similar.all_pairs(*empty).count() == 0 and similar.groups(*empty).count() == 0
+    assert similar.all_pairs(empty.members, empty.similar_pairs()).count() == 0 and similar.groups(empty.members, empty.star_pairs()).count() == 0
+
+
+def test_links_grow_with_the_copies(spark):
+    """A group of near-copies is linked in proportion to its members, not to their pairs."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(9000)}" for _ in range(120)]
+    texts = []
+    for i in range(400):
+        w = list(base)
+        w[rng.randrange(120)] = f"own{i}"
+        texts.append(" ".join(w))
+    df = nodes(spark, [{"id": i, "type": "function", "code_content": t} for i, t in enumerate(texts)])
+    band = similar.similar_functions(df)
+    links = band.star_pairs()
+    out = similar.groups(band.members, links).collect()
+    assert len({r["group_id"] for r in out}) == 1 and len(out) == 400 and links.count() < 12 * 400
 
 
 # --- documentation -----------------------------------------------------------------

@@ -3,11 +3,13 @@
 Iterative operators write their state as a table below ``spark.checkpoint.dir`` (a
 folder every executor can read), so a lost executor costs a re-read, never a
 recomputation of all rounds. Parquet keeps the tables compressed and gives the
-optimizer sizes for the next round's joins.
+optimizer sizes for the next round's joins. The tables of an application lie in one folder, which
+``release`` deletes; so does the end of the driver.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -16,24 +18,60 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a local folder only where none is configured (tests)."""
+    """The shared folder of the session. Where none is configured a session on one machine (tests) gets a local folder; on several machines this is an error, as no executor could read another's files."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: intermediate tables on {master} need a folder that every executor can read")
     root = "file://" + tempfile.mkdtemp(prefix="codeloom-")
     spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/codeloom-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the session's application. Results that were not written or collected yet can no longer be computed."""
+    _delete(spark, _folder(spark))
+
+
+_watched: set[str] = set()
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    app = spark.sparkContext.applicationId
+    if app not in _watched:
+        _watched.add(app)
+
+        def end() -> None:
+            try:
+                if spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app:
+                    release(spark)
+            except Exception:  # the session has ended before: its folder is left to the owner of the shared folder
+                pass
+
+        atexit.register(end)
+
+
 class Scratch:
     """Tables of one operator run; ``save`` replaces a lineage by a written table."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{checkpoint_root(spark)}/codeloom-{uuid.uuid4().hex}"
+        self.root = f"{_folder(spark)}/{uuid.uuid4().hex}"
+        _release_at_exit(spark)
         self._n = 0
         self._paths: dict[int, str] = {}
 
@@ -59,6 +97,4 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = self._paths.pop(id(df), None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import schema as S
+from codeloom.operators.dedupe import one_per_key
 from codeloom.sources.tables import table
 
 
@@ -44,10 +45,11 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
     vectors: DataFrame | None = None
+    raw_nodes: DataFrame | None = None
 
     @staticmethod
     def clean(files: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame | None = None) -> "Graph":
-        return Graph(latest_files(files), unique_nodes(nodes), unique_edges(edges), vectors)
+        return Graph(latest_files(files), unique_nodes(nodes), unique_edges(edges), vectors, nodes)
 
     @staticmethod
     def load(spark: SparkSession, folder: str) -> "Graph":
@@ -56,6 +58,12 @@ class Graph:
     def with_vectors(self, vectors: DataFrame) -> "Graph":
         return replace(self, vectors=vectors)
 
+    def texts(self, *columns: str) -> DataFrame:
+        """Nodes (id and the given columns), one row an id, for columns that hold texts: rows whose id is alone are not shuffled."""
+        if self.raw_nodes is None:
+            return self.nodes.select("id", *columns)
+        return one_per_key(self.raw_nodes.select("id", *columns), "id")
+
     def located(self, *columns: str) -> DataFrame:
         """Nodes (the given columns) with the path and language of their file."""
         cols = [F.col(c) for c in dict.fromkeys(("id", "file_id", *columns))]

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom import schema as S
 from codeloom.functions import identifiers as I
 from codeloom.functions import predicates as P
 from codeloom.graph import Graph
+from codeloom.storage import Scratch
 
 #: Weight of each indexed column in the text score.
 COLUMN_WEIGHTS = {"name": 5.0, "qualified_name": 3.0, "code_content": 2.0, "context_string": 2.0, "doc_comment": 1.0, "name_tokens": 5.0, "return_type": 1.0, "param_types": 1.0}
@@ -36,20 +40,75 @@ def stem(word: Column) -> Column:
     return stems(word)
 
 
-def postings(docs: DataFrame, key: str, weights: dict[str, float], stemmed: bool = False) -> DataFrame:
-    """(key, term, tf, tf_w, length): occurrences of each term per row, weighted by column, and the row's tokens over all columns.
+def _weighted(weights: dict[str, float], wanted=None):
+    """(arrays, length, occurrences): the token arrays of a row by column weight, and what gives from them its tokens and its (term, w), of the wanted terms alone where given."""
+    arrays = F.array(*[F.struct(F.lit(float(w)).alias("w"), F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias("t")) for c, w in weights.items()])
+    length = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.size(x["t"]))
+    some = (lambda t: t) if wanted is None else (lambda t: F.filter(t, wanted))
+    flat = lambda a: F.flatten(F.transform(a, lambda x: F.transform(some(x["t"]), lambda t: F.struct(t.alias("term"), x["w"].alias("w")))))
+    return arrays, length, flat
+
+
+def postings(docs: DataFrame, key: str, weights: dict[str, float], wanted=None, scratch: Scratch | None = None) -> tuple[DataFrame, int, float]:
+    """((key, term, tf, tf_w, length), rows, average length): occurrences of each term per row, weighted by column, and the row's tokens over all columns.
 
-    With ``stemmed`` the stemmer sees each distinct token of the collection once.
+    ``wanted`` says which terms are needed; others are dropped inside the row, before anything is exploded. Texts are read once: rows and
+    average cover the whole collection and are observed while the occurrences are written.
     """
-    arrays = F.array(*[F.struct(F.lit(float(w)).alias("w"), F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias("t")) for c, w in weights.items()])
-    rows = docs.select(key, arrays.alias("_a"))
-    rows = rows.withColumn("length", F.aggregate("_a", F.lit(0), lambda s, x: s + F.size(x["t"])))
-    flat = F.flatten(F.transform("_a", lambda x: F.transform(x["t"], lambda t: F.struct(t.alias("term"), x["w"].alias("w")))))
-    out = rows.select(key, "length", F.explode(flat).alias("p")).groupBy(key, "p.term", "length").agg(F.count(F.lit(1)).alias("tf"), F.sum("p.w").alias("tf_w"))
-    if stemmed:
-        known = out.select(F.col("term").alias("_raw")).distinct().withColumn("_stem", stem(F.col("_raw")))
-        out = out.join(known, F.col("term") == F.col("_raw")).groupBy(key, F.col("_stem").alias("term"), "length").agg(F.sum("tf").alias("tf"), F.sum("tf_w").alias("tf_w"))
-    return out
+    scratch = scratch or Scratch(docs.sparkSession)
+    arrays, length, flat = _weighted(weights, wanted)
+    rows = docs.select(key, arrays.alias("_a")).select(key, length(F.col("_a")).alias("length"), flat(F.col("_a")).alias("_p"))
+    seen = Observation()
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
+    held = scratch.save(rows.where(F.size("_p") > 0))
+    n, total = int(seen.get["n"]), int(seen.get["total"] or 0)
+    out = held.select(key, "length", F.explode("_p").alias("p")).groupBy(key, "p.term", "length").agg(F.count(F.lit(1)).alias("tf"), F.sum("p.w").alias("tf_w"))
+    return out, n, total / n if n and total else 1.0
+
+
+def exact_terms(terms: list[str]):
+    return lambda t: t.isin(terms)
+
+
+def terms_with_stems(stems: list[str]):
+    """Terms that may have one of the stems: a stem differs from its words by their ends, so all but its last two letters begin the word."""
+    return lambda t: reduce(or_, [F.startswith(t, F.lit(s[: max(1, len(s) - 2)])) for s in stems])
+
+
+def stemmed_postings(posts: DataFrame, key: str, stems: list[str]) -> DataFrame:
+    """``postings`` of words brought to those of stems; the stemmer sees each distinct candidate word once."""
+    known = posts.select(F.col("term").alias("_raw")).distinct().withColumn("_stem", stem(F.col("_raw"))).where(F.col("_stem").isin(stems))
+    rows = posts.join(known, F.col("term") == F.col("_raw"))
+    return rows.groupBy(key, F.col("_stem").alias("term"), "length").agg(F.sum("tf").alias("tf"), F.sum("tf_w").alias("tf_w"))
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """A kept postings table: (id, term, stem, tf, tf_w, length) in ranges of the stem, so that a query reads the row groups of its terms only."""
+
+    posts: DataFrame
+    rows: int
+    average: float
+
+    @staticmethod
+    def build(g: Graph, folder: str, ranges: int = 64) -> "TextIndex":
+        posts, n, average = postings(g.texts(*COLUMN_WEIGHTS), "id", COLUMN_WEIGHTS)
+        known = posts.select(F.col("term").alias("_raw")).distinct().withColumn("stem", stem(F.col("_raw")))
+        rows = posts.join(known, F.col("term") == F.col("_raw")).drop("_raw")
+        rows.repartitionByRange(ranges, "stem", "id").sortWithinPartitions("stem", "id").write.mode("overwrite").parquet(f"{folder}/postings.parquet")
+        spark = g.nodes.sparkSession
+        spark.createDataFrame([(n, float(average))], "n long, average double").write.mode("overwrite").parquet(f"{folder}/postings_stats.parquet")
+        return TextIndex.load(spark, folder)
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> "TextIndex":
+        stats = spark.read.parquet(f"{folder}/postings_stats.parquet").first()
+        return TextIndex(spark.read.parquet(f"{folder}/postings.parquet"), stats["n"], stats["average"])
+
+    def terms(self, terms: list[str], stemmed: bool) -> DataFrame:
+        column = "stem" if stemmed else "term"
+        rows = self.posts.where(F.col(column).isin(terms))
+        return rows.groupBy("id", F.col(column).alias("term"), "length").agg(F.sum("tf").alias("tf"), F.sum("tf_w").alias("tf_w"))
 
 
 def bm25(posts: DataFrame, key: str, terms: list[str], rows: int, average: float) -> DataFrame:
@@ -78,21 +137,26 @@ def and_then_or(scored: DataFrame, n_terms: int, limit: int, key: str) -> DataFr
     return rows.orderBy(F.desc(F.round("score", 9)), key).limit(limit).select(key, "score", "matched", "or_fallback")
 
 
-def text_search(g: Graph, query: str, limit: int = 20, include_tests: bool = False, stemmed: bool = True) -> DataFrame:
-    """(id, score, matched, or_fallback) of a query over the indexed columns; test rows are dropped before the limit, statistics cover all rows."""
+def text_search(g: Graph, query: str, limit: int = 20, include_tests: bool = False, stemmed: bool = True, index: TextIndex | None = None) -> DataFrame:
+    """(id, score, matched, or_fallback) of a query over the indexed columns; test rows are dropped before the limit, statistics cover all rows.
+
+    With a kept ``index`` no text is read; without one the texts are read once and only occurrences of the query's terms leave their rows.
+    """
     terms = [t for w in I.query_terms(query) for t in w.lower().split("_") if t]
     terms = sorted({I.porter(t) for t in terms} if stemmed else set(terms))
     spark = g.nodes.sparkSession
     if not terms:
         return spark.createDataFrame([], "id long, score double, matched long, or_fallback boolean")
-    posts = postings(g.nodes, "id", COLUMN_WEIGHTS, stemmed)
-    sums = sum((F.coalesce(F.size(tokens(F.col(c))), F.lit(0)) for c in COLUMN_WEIGHTS), F.lit(0))
-    stats = g.nodes.agg(F.count(F.lit(1)).alias("n"), F.avg(sums).alias("a")).first()
-    scored = bm25(posts, "id", terms, stats["n"], stats["a"] or 1.0)
+    if index is not None:
+        posts, n, average = index.terms(terms, stemmed), index.rows, index.average
+    else:
+        posts, n, average = postings(g.texts(*COLUMN_WEIGHTS), "id", COLUMN_WEIGHTS, terms_with_stems(terms) if stemmed else exact_terms(terms))
+        posts = stemmed_postings(posts, "id", terms) if stemmed else posts
+    scored = bm25(posts, "id", terms, n, average)
     if not include_tests:
         tests = g.nodes.where("is_test").select(F.col("id").alias("_i"))
         scored = scored.join(tests, F.col("id") == F.col("_i"), "left_anti")
-    return and_then_or(scored, len(terms), limit, "id")
+    return and_then_or(Scratch(spark).save(scored), len(terms), limit, "id")
 
 
 def distance(column: Column, query: list[float], metric: str = "l2") -> Column:
@@ -264,19 +328,21 @@ def rerank(rows: DataFrame, query: str, confidence: float, top_k: int) -> DataFr
     return rows.withColumn("relevance", score).orderBy(F.desc("relevance"), F.desc("score"), "id").limit(top_k)
 
 
-def hybrid_search(g: Graph, query: str, query_vector: list[float] | None = None, top_k: int = 10, kind: str | None = None, language: str | None = None) -> DataFrame:
+def hybrid_search(g: Graph, query: str, query_vector: list[float] | None = None, top_k: int = 10, kind: str | None = None, language: str | None = None, index: TextIndex | None = None) -> DataFrame:
     """Text and vector hits fused, filtered, re-ranked and cut; both lists fetch max(4 top_k, 20) before the filters."""
     top_k = max(1, min(100, top_k))
     fetch = max(4 * top_k, 20)
     wt, wv = source_weights(query)
-    text = text_search(g, query, fetch)
+    scratch = Scratch(g.nodes.sparkSession)
+    text = scratch.save(text_search(g, query, fetch, index=index))
     lists = ranked(text, "text", wt)
     flags = text.agg(F.count(F.lit(1)).alias("n"), F.max("or_fallback").alias("o")).first()
-    found = 0
+    found, both = 0, 0
     if query_vector is not None and g.vectors is not None:
-        near = vector_search(g.vectors, query_vector, fetch).select(F.col("node_id").alias("id"), (F.lit(1.0) - F.col("distance")).alias("score"))
+        near = scratch.save(vector_search(g.vectors, query_vector, fetch).select(F.col("node_id").alias("id"), (F.lit(1.0) - F.col("distance")).alias("score")))
         lists = lists.unionByName(ranked(near, "vector", wv))
-        found = fetch
+        hits = near.join(text.select(F.col("id").alias("_t")), F.col("id") == F.col("_t"), "left").agg(F.count(F.lit(1)).alias("n"), F.count("_t").alias("both")).first()  # two bounded lists
+        found, both = hits["n"], hits["both"]
     fused = rrf(lists, fetch)
     n = g.located("name", "type", "start_line", "end_line", "is_test").withColumnRenamed("id", "_i")
     rows = fused.join(n, F.col("id") == F.col("_i")).where((F.col("name") != S.MODULE) & (F.col("path") != S.EXTERNAL))
@@ -285,8 +351,10 @@ def hybrid_search(g: Graph, query: str, query_vector: list[float] | None = None,
         rows = rows.where(F.col("type").isin(P.normalise_type(kind)))
     if language is not None:
         rows = rows.where(F.col("language") == language)
-    confidence = match_confidence(flags["n"], found, bool(flags["o"]), 1.0, fetch)
-    return rerank(rows, query, confidence, top_k).select("id", "name", "type", "path", "start_line", "end_line", "relevance")
+    overlap = both / min(flags["n"], found) if flags["n"] and found else 0.0
+    confidence = match_confidence(flags["n"], found, bool(flags["o"]), overlap, fetch)
+    out = rerank(rows, query, confidence, top_k).select("id", "name", "type", "path", "start_line", "end_line", "relevance")
+    return out.withColumn("confidence", F.lit(float(confidence)))
 
 
 def fuzzy_names(g: Graph, name: str, limit: int = 10) -> DataFrame:

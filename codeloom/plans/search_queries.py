@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import identifiers as I
 from codeloom.graph import Graph
 from codeloom.operators import search as Q
+from codeloom.operators.dedupe import one_per_key
 from codeloom.plans.graph_queries import graph, sql, _test
 from codeloom.plans.registry import Registry
 from codeloom.sources.tables import table
@@ -23,12 +24,13 @@ def _tokens(c: str) -> str:
     return f"list_filter(string_split_regex(translate(lower({c}), '{_PLAIN}', '{_ASCII}'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
-def _bm25(rel: str, key: str, weights: dict[str, float]) -> str:
+def _bm25(rel: str, key: str, weights: dict[str, float], forms: dict[str, str] | None = None) -> str:
     parts = " union all ".join(f"select {key}, {w} as w, unnest({_tokens(c)}) as term from {rel}" for c, w in weights.items())
-    terms = ", ".join(f"'{t}'" for t in TERMS)
+    terms = ", ".join(f"'{t}'" for t in forms or TERMS)
+    term = "term" if forms is None else "case " + " ".join(f"when term = '{w}' then '{s}'" for w, s in forms.items()) + " end"
     return f"""tok as ({parts}), len as (select {key}, count(*) dl from tok group by 1),
     st as (select (select count(*) from {rel}) as nn, (select sum(dl) from len) / (select count(*) from {rel}) as av),
-    tf as (select {key}, term, sum(w) tw from tok where term in ({terms}) group by 1, 2), df as (select term, count(*) df from tf group by 1),
+    tf as (select {key}, {term} as term, sum(w) tw from tok where term in ({terms}) group by 1, 2), df as (select term, count(*) df from tf group by 1),
     sc as (select tf.{key}, sum(greatest(ln((nn - df + 0.5) / (df + 0.5)), 1e-6) * tw * 2.2 / (tw + 1.2 * (0.25 + 0.75 * dl / av))) score, count(*) matched from tf join df using (term) join len using ({key}), st group by 1)"""
 
 
@@ -36,13 +38,12 @@ _DOCS = "dd as (select doc_id, text from documents where doc_id is not null qual
 
 
 def _documents(spark, d):
-    return table(spark, d, "documents").where("doc_id is not null").dropDuplicates(["doc_id"])
+    return one_per_key(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _scored_documents(spark, d):
-    docs = _documents(spark, d)
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.size(Q.tokens(F.col("text"))), F.lit(0))).alias("a")).first()
-    return Q.bm25(Q.postings(docs, "doc_id", {"text": 1.0}), "doc_id", TERMS, stats["n"], stats["a"] or 1.0)
+    posts, n, average = Q.postings(_documents(spark, d), "doc_id", {"text": 1.0}, Q.exact_terms(TERMS))
+    return Q.bm25(posts, "doc_id", TERMS, n, average)
 
 
 def _rounded(df):
@@ -71,7 +72,14 @@ def bm25_columns(spark, d):
     return _rounded(Q.text_search(graph(spark, d), QUERY, 20, stemmed=False))
 
 
-@R.query("porter_search")
+#: The words that have the stems of the query.
+_FORMS = {w: s for s, words in {"pars": "pars parse parses parsed parsing", "node": "node nodes noded noding", "index": "index indexs indexes indexed indexing"}.items() for w in words.split()}
+
+
+@R.query("porter_search", sql(
+    f"{_bm25('n', 'id', Q.COLUMN_WEIGHTS, _FORMS)}, k as (select * from sc where id not in (select id from n where is_test)), a as (select least(count(*), 20) k from k where matched = 3) "
+    "select id, round(score, 6) score, matched, (select k from a) < 3 as or_fallback from k where matched = 3 or (select k from a) < 3 order by round(score, 9) desc, id limit 20"
+))
 def porter_search(spark, d):
     return _rounded(Q.text_search(graph(spark, d), "parsing nodes indexes", 20))
 

@@ -2,31 +2,74 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom import schema as S
 from codeloom.functions import predicates as P
 from codeloom.graph import Graph
+from codeloom.storage import Scratch
+
 
+def _above(path: Column) -> Column:
+    """The directories above a path from none downwards, as structs of level, directory and the bytes (in hex) of the component that follows."""
+    parts = F.split(path, "/")
+    return F.transform(
+        F.sequence(F.lit(0), F.size(parts) - 1),
+        lambda k: F.named_struct(F.lit("level"), k, F.lit("dir"), F.array_join(F.slice(parts, 1, k), "/"), F.lit("next"), F.hex(F.encode(F.element_at(parts, k + 1), "UTF-8"))),
+    )
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Length in bytes of the common prefix of two paths."""
 
-    @F.pandas_udf("int")
-    def length(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(xs, ys):
-            x, y, n = (x or "").encode(), (y or "").encode(), 0
-            for p, q in zip(x, y):
-                if p != q:
-                    break
-                n += 1
-            out.append(n)
-        return pd.Series(out, dtype="int32")
+def _beginnings(next_: Column) -> Column:
+    """All beginnings of whole bytes of a text in hex, the empty one too."""
+    return F.transform(F.sequence(F.lit(0), (F.length(next_) / 2).cast("int")), lambda k: F.substring(next_, F.lit(1), k * 2))
 
-    return length(a, b)
+
+def nearest_targets(wanted: DataFrame, symbols: DataFrame, scratch: Scratch) -> DataFrame:
+    """(name, path, language, target_id): for each distinct (name, path, language) of ``wanted`` the symbols of the name and a compatible language that share the longest path prefix in bytes.
+
+    For callers outside tests those outside tests go first. The prefix is found from the deepest directory that both have, then byte by byte in
+    the component that follows: each step is an equality join with the distinct (name, family, prefix) of the symbols, never with all symbols
+    of a name. Only what is in the result is joined with symbols.
+    """
+    key = ["name", "path", "language"]
+    none, all_ = "?", "*"
+    w = scratch.save(wanted.select(*key).where("name is not null and path is not null").distinct())
+    names = w.select(F.col("name").alias("_n")).distinct()
+    family = F.coalesce(P.language_family(F.col("language")), F.lit(none))
+    s = symbols.where("path is not null").join(names, F.col("name") == F.col("_n"), "left_semi")
+    s = s.select("id", "name", "path", F.explode(F.array(family, F.lit(all_))).alias("family"), (~P.is_test_path(F.col("path"))).alias("main"))
+    s = scratch.save(s)
+    sides = F.when(F.col("language").isNull(), F.array(F.lit(all_))).otherwise(F.array(family, F.lit(none)))
+
+    # is there a target at all, and one outside tests
+    have = s.groupBy(F.col("name").alias("_n"), F.col("family").alias("_f")).agg(F.max("main").alias("_main"))
+    q = w.withColumn("family", F.explode(sides)).join(have, (F.col("name") == F.col("_n")) & (F.col("family") == F.col("_f")))
+    q = q.groupBy(*key).agg(F.max("_main").alias("_main")).withColumn("main", F.col("_main") & ~P.is_test_path(F.col("path"))).drop("_main")
+    q = scratch.save(q.withColumn("family", F.explode(sides)))
+
+    # the deepest directory
+    kinds = F.explode(F.when(F.col("main"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))
+    placed = s.select("id", "name", "family", kinds.alias("main"), F.explode(_above(F.col("path"))).alias("a")).select("id", "name", "family", "main", "a.*")
+    on = lambda df: df.select([F.col(c).alias(f"_{c}") for c in df.columns])
+    match = lambda cs: reduce(and_, [F.col(c) == F.col(f"_{c}") for c in cs])
+    dirs = placed.select("name", "family", "main", "dir").distinct()
+    asked = q.select(*key, "family", "main", F.explode(_above(F.col("path"))).alias("a")).select(*key, "family", "main", "a.*")
+    deep = asked.join(on(dirs), match(["name", "family", "main", "dir"])).groupBy(*key).agg(F.max(F.struct("level", "dir", "next", "main")).alias("m")).select(*key, "m.dir", "m.next", "m.main")
+    deep = scratch.save(deep.withColumn("family", F.explode(sides)))
+
+    # the longest beginning of the component that follows it
+    near = placed.join(on(deep.select("name", "family", "main", "dir").distinct()), match(["name", "family", "main", "dir"]), "left_semi")
+    near = scratch.save(near.select("id", "name", "family", "main", "dir", F.explode(_beginnings(F.col("next"))).alias("begin")))
+    begins = near.select("name", "family", "main", "dir", "begin").distinct()
+    tried = deep.select(*key, "family", "main", "dir", F.explode(_beginnings(F.col("next"))).alias("begin"))
+    best = tried.join(on(begins), match(["name", "family", "main", "dir", "begin"])).groupBy(*key).agg(F.max(F.struct(F.length("begin").alias("n"), "begin", "dir", "main")).alias("m"))
+    best = best.select(*key, "m.begin", "m.dir", "m.main").withColumn("family", F.explode(sides))
+    targets = near.select(F.col("id").alias("target_id"), *[F.col(c).alias(f"_{c}") for c in ("name", "family", "main", "dir", "begin")])
+    return best.join(targets, match(["name", "family", "main", "dir", "begin"])).select(*key, "target_id").distinct()
 
 
 def resolve(relations: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -35,23 +78,24 @@ def resolve(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     ``relations``: rel_id, source_id, path, language, target_name, relation; ``symbols``: id, name, path, language. Tier 1 is a symbol of the same
     file, tier 2 one of a compatible language (calls of noise names stop before it), tier 3 any symbol, for relations other than calls.
     Of several tier 2 targets those outside tests are preferred for callers outside tests, then all that share the longest path prefix with
-    the caller. Self edges are only kept for routes. Noise names are filtered before the join, so they cannot make hot keys.
+    the caller (``nearest_targets``). Self edges are only kept for routes. Noise names are filtered before the join, so they cannot make hot keys.
     """
-    s = symbols.select(F.col("id").alias("target_id"), F.col("name").alias("_name"), F.col("path").alias("_path"), F.col("language").alias("_lang"))
+    scratch = Scratch(relations.sparkSession)
+    s = symbols.select(F.col("id").alias("target_id"), F.col("name").alias("_name"), F.col("path").alias("_path"))
     call = F.col("relation") == S.CALLS
+    relations = scratch.save(relations.select("rel_id", "source_id", "path", "language", "target_name", "relation"))
     local = relations.join(s, (F.col("target_name") == F.col("_name")) & (F.col("path") == F.col("_path"))).withColumn("tier", F.lit(1))
     done = local.select(F.col("rel_id").alias("_done")).distinct()
     rest = relations.join(done, F.col("rel_id") == F.col("_done"), "left_anti").where(~(call & F.col("target_name").isin(P.NOISE_NAMES)))
-    far = rest.join(s, F.col("target_name") == F.col("_name"))
-    far = far.withColumn("tier", F.when(P.compatible(F.col("language"), F.col("_lang")), 2).when(~call, 3)).where("tier is not null")
-    each = Window.partitionBy("rel_id")
-    far = far.withColumn("_t", F.min("tier").over(each)).where("tier = _t")
-    test = P.is_test_path(F.col("_path"))
-    far = far.withColumn("_away", F.max(~test).over(each))
-    far = far.where((F.col("tier") == 3) | P.is_test_path(F.col("path")) | ~F.col("_away") | ~test)
-    far = far.withColumn("_near", F.when(F.col("tier") == 2, common_prefix(F.col("path"), F.col("_path"))).otherwise(0)).withColumn("_most", F.max("_near").over(each)).where("_near = _most")
+    rest = scratch.save(rest)
+    near = nearest_targets(rest.select(F.col("target_name").alias("name"), "path", "language"), symbols.select("id", "name", "path", "language"), scratch)
+    near = scratch.save(near.select(F.col("name").alias("_name"), F.col("path").alias("_path"), F.col("language").alias("_lang"), "target_id"))
+    same = (F.col("target_name") == F.col("_name")) & (F.col("path") == F.col("_path")) & F.col("language").eqNullSafe(F.col("_lang"))
+    far = rest.join(near, same).withColumn("tier", F.lit(2))
+    other = rest.where(~call).join(near.drop("target_id").distinct(), same, "left_anti")
+    any_ = other.join(s.drop("_path"), F.col("target_name") == F.col("_name")).withColumn("tier", F.lit(3))
     columns = ["rel_id", "source_id", "target_id", "relation", "tier"]
-    rows = local.select(*columns).unionByName(far.select(*columns))
+    rows = local.select(*columns).unionByName(far.select(*columns)).unionByName(any_.select(*columns))
     return rows.where((F.col("source_id") != F.col("target_id")) | (F.col("relation") == S.ROUTES_TO)).distinct()
 
 

@@ -289,3 +289,49 @@ def test_snapshot_query_takes_every_path(spark, tmp_path):
     old = spark.createDataFrame([("a" * 7, "1"), ("b" * 11, "1")], "path string, content_hash string")
     new = spark.createDataFrame([("a" * 7, "1"), ("c" * 77, "1")], "path string, content_hash string")
     assert {tuple(r) for r in mutation.snapshot_diff(old, new).collect()} == {("b" * 11, "deleted"), ("c" * 77, "new")}
+
+
+def test_nearest_targets_against_all_pairs(spark):
+    from codeloom.functions.predicates import language_family  # noqa: F401
+
+    rng = random.Random(8)
+    part = lambda: rng.choice(["a", "ab", "abc", "b", "src", "tests", "é", "è"])
+    path = lambda: "/".join(part() for _ in range(rng.randrange(1, 4))) + rng.choice([".js", ".test.js", ".py", ""])
+    langs = ["javascript", "typescript", "python", None]
+    symbols = [(i, rng.choice("xyz"), path(), rng.choice(langs)) for i in range(150)]
+    rel = [(i, 1000 + i, path(), rng.choice(langs), rng.choice("xyzw"), rng.choice(["calls", "imports"])) for i in range(120)]
+    family = lambda x: "js" if x in ("javascript", "typescript") else x
+    test = lambda p: p.startswith("tests/") or any(x in p for x in (".test.", "/tests/"))
+
+    def common(a, b):
+        a, b = a.encode(), b.encode()
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    want = set()
+    for r, _, p, lang, name, kind in rel:
+        same = [s for s in symbols if s[1] == name]
+        if local := [s for s in same if s[2] == p]:
+            want |= {(r, s[0], 1) for s in local}
+            continue
+        near = [s for s in same if lang is None or s[3] is None or family(s[3]) == family(lang)]
+        if not test(p) and any(not test(s[2]) for s in near):
+            near = [s for s in near if not test(s[2])]
+        most = max((common(p, s[2]) for s in near), default=0)
+        want |= {(r, s[0], 2) for s in near if common(p, s[2]) == most}
+        if not near and kind != "calls":
+            want |= {(r, s[0], 3) for s in same}
+    got = resolve.resolve(
+        spark.createDataFrame(rel, "rel_id long, source_id long, path string, language string, target_name string, relation string"),
+        spark.createDataFrame(symbols, "id long, name string, path string, language string"),
+    )
+    assert {(r["rel_id"], r["target_id"], r["tier"]) for r in got.collect()} == want
+
+
+def test_a_name_with_many_definitions(spark):
+    """100,000 definitions and 20,000 callers of one name: each caller meets its own repository's definition alone."""
+    symbols = spark.range(100_000).select("id", F.lit("update").alias("name"), F.format_string("repo%06d/src/m.js", "id").alias("path"), F.lit("javascript").alias("language"))
+    rel = spark.range(20_000).select(F.col("id").alias("rel_id"), (F.col("id") + 10**6).alias("source_id"), F.format_string("repo%06d/src/z.js", F.col("id") * 5).alias("path"), F.lit("javascript").alias("language"), F.lit("update").alias("target_name"), F.lit("calls").alias("relation"))
+    begin = time.perf_counter()
+    got = resolve.resolve(rel, symbols)
+    assert got.count() == 20_000 and got.where("target_id <> rel_id * 5").count() == 0
+    assert time.perf_counter() - begin < 120

@@ -33,14 +33,15 @@ from codeloom.llm.gll import Parser
 from codeloom.storage import Scratch
 
 # Token kinds. Lines: C comment, S string statement, A annotation, W other lines (water).
+# A line of water ends every construct, so the parts between water are parsed on their own.
 # Inside a line that may start a function: L its start, M modifier, K function keyword, V const/let/var, N other word,
 # X control word, the brackets ( ) [ ] { }, the marks < > : ; = . , g (=> and ->), s string, o anything else.
-_WITHIN = "MVXNLSCWA<>:=.,gso"
-_LINE_KINDS = "LCSWA"
+_WITHIN = "MVXNLSCA<>:=.,gso"
+_LINE_KINDS = "LCSA"
 GRAMMAR = {
     "File": [("Items",)],
     "Items": [(), ("Items", "Item")],
-    "Item": [("Lead", "Lhead", "Head", "Doc"), ("!1:C", "Ccomment"), ("[WA]",), (f"?1:L{_WITHIN.replace('C', '')};(){{}}[]",), ("?5:K",)],
+    "Item": [("Lead", "Lhead", "Head", "Doc"), ("!1:C", "Ccomment"), ("A",), (f"?1:L{_WITHIN.replace('C', '')};(){{}}[]",), ("?5:K",)],
     "Lead": [(), ("Lead", "Clead"), ("Lead", "A")],
     "Head": [
         ("Mods", "K", "Name", "Params", "Tail"),  # def f(..), function f(..), fn f<T>(..)
@@ -75,8 +76,10 @@ _CONTROL = "if for while switch catch return else do try with match throw new ra
 _NAMERS = "const let var val".split()
 
 _ANY = "|".join
+_INLINE = re.compile(r"[;}]\s*(?=(?:async\s+)?function\b)")
+_FIRST = re.compile(r"[\w~]+")
 _STARTS = re.compile(
-    rf"^\s*(?:(?:{_ANY(_MODIFIERS)}|pub(?:\([^)]*\))?|{_ANY(_NAMERS)})\s+)*(?:{_ANY(_KEYWORDS)})\b(?!\s*[.=:,;)\]])|[;}}]\s*(?:async\s+)?function\b"
+    rf"^\s*(?:(?:{_ANY(_MODIFIERS)}|pub(?:\([^)]*\))?|{_ANY(_NAMERS)})\s+)*(?:{_ANY(_KEYWORDS)})\b(?!\s*[.=:,;)\]])"
     rf"|^\s*(?:export\s+)?(?:{_ANY(_NAMERS)})\s[^=]*=\s*(?:async\b|function\b|\(|\w+\s*=>)"
     rf"|^\s*(?:{_ANY(_MODIFIERS)})\s[^=;]*\("
 )
@@ -96,6 +99,9 @@ class Token(NamedTuple):
     text: str
 
 
+_WATER = Token("W", 0, "")
+
+
 def _indent(line: str) -> int:
     return len(line) - len(line.lstrip())
 
@@ -160,36 +166,59 @@ def tokens(code: str) -> list[Token]:
             out.append(Token("A", i, line))
             i += 1
         else:
-            starts = bool(_STARTS.search(line))
+            word = _FIRST.match(s)
+            kind = _WORD_KIND.get(word.group(), "N") if word else ""
+            header = kind in ("M", "K", "V") and _STARTS.match(line) is not None
+            starts = header or ("function" in line and _INLINE.search(line) is not None)
             if starts:
                 depth = 0
-            follows = lines[i + 1].lstrip() if i + 1 < len(lines) else ""
-            if depth > 0 or starts or s == "{" or (_CALL_LIKE.match(line) and (s.endswith(("{", "(", ",")) or follows.startswith("{"))):
-                depth = max(0, depth + _fine(line, i, out))
-            elif not (last and last.kind == "W"):
-                out.append(Token("W", i, ""))
+            call = kind == "N" and "(" in s and (s[-1] in "{(," or (i + 1 < len(lines) and lines[i + 1].lstrip().startswith("{"))) and _CALL_LIKE.match(line) is not None
+            if depth > 0 or starts or call or s == "{":
+                depth = max(0, depth + _fine(line, i, out, header or depth > 0 or call or s == "{"))
+            else:
+                _water(out)
             i += 1
         gap = False
     return out
 
 
-def _fine(line: str, at: int, out: list[Token]) -> int:
-    """Puts the words and marks of a line to the tokens; the number of round brackets it leaves open."""
-    out.append(Token("L", at, line))
-    depth, before = 0, "L"
-    for m in _TOKEN.finditer(line):
-        group = m.lastgroup
-        if group is None or group == "c":
-            continue
-        kind = {"s": "s", "p": "M", "g": "g", "o": "o"}.get(group) or (_WORD_KIND.get(m.group(), "N") if group == "w" else m.group())
-        if kind in "MKVX" and before in "K.N>]" and kind != "M" or (kind == "M" and before in "K."):
-            kind = "N"  # the word stands where a name does
-        if kind == "K" and before in ";}":
-            out.append(Token("L", at, line))
-        depth += (kind == "(") - (kind == ")")
-        out.append(Token(kind, at, m.group()))
-        before = kind
-    return depth
+def _water(out: list[Token]) -> None:
+    if not (out and out[-1].kind == "W"):
+        out.append(_WATER)
+
+
+def _fine(line: str, at: int, out: list[Token], header: bool) -> int:
+    """Puts the words and marks of a line to the tokens; the number of round brackets it leaves open.
+
+    What follows the opening mark of a body is water up to the next function on the line, and so is what stands before the first where the line does not begin with a ``header``.
+    """
+    start, depth = 0, 0
+    while True:
+        if start or not header:
+            after = _INLINE.search(line, start)
+            if (after.start() if after else len(line.rstrip())) > start:
+                _water(out)
+            if after is None:
+                return 0
+            start = after.end()
+        out.append(Token("L", at, line))
+        depth, before, body = 0, "L", None
+        for m in _TOKEN.finditer(line, start):
+            group = m.lastgroup
+            if group is None or group == "c":
+                continue
+            kind = {"s": "s", "p": "M", "g": "g", "o": "o"}.get(group) or (_WORD_KIND.get(m.group(), "N") if group == "w" else m.group())
+            if kind in "MKVX" and before in "K.N>]" and kind != "M" or (kind == "M" and before in "K."):
+                kind = "N"  # the word stands where a name does
+            depth += (kind == "(") - (kind == ")")
+            out.append(Token(kind, at, m.group()))
+            before = kind
+            if kind == "{" and depth <= 0:
+                body = m.end()
+                break
+        if body is None:
+            return depth
+        start = body
 
 
 class Function(NamedTuple):
@@ -202,13 +231,22 @@ class Function(NamedTuple):
     first: int
 
 
-@lru_cache(maxsize=50_000)
-def structure(kinds: str) -> tuple[tuple[str, int], ...]:
-    """The marks (lead, head, name, doc, comment) and their tokens in the cheapest derivation of a token sequence."""
+@lru_cache(maxsize=100_000)
+def _part(kinds: str) -> tuple[tuple[str, int], ...]:
     got = _PARSER.parse(kinds)
     return got[1] if got else ()
 
 
+def structure(kinds: str) -> Iterator[tuple[str, int]]:
+    """The marks (lead, head, name, doc, comment) and their tokens in the cheapest derivation of a token sequence."""
+    at = 0
+    for part in kinds.split("W"):
+        if part:
+            for mark, k in _part(part):
+                yield mark, at + k
+        at += len(part) + 1
+
+
 def _parsed(code: str | None) -> tuple[str, list[Function]]:
     """The comment at the very start of a text, and its functions."""
     if not code:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.shingles import WordHash, combine, minhashes, shingle_set, words
-from codeloom.operators.bitmaps import maybe_in
+from codeloom.operators.bitmaps import maybe_in, with_membership
 from codeloom.operators.components import connected_components
 from codeloom.storage import Scratch
 
@@ -96,24 +96,30 @@ class Banding:
         self.scratch = scratch = scratch or Scratch(texts.sparkSession)
         texts = texts.where("id is not null and text is not null").select("id", "text")
         self.rows = all_rows = scratch.save(features(texts, shingle, min_words, tables, rows))
-        classes = all_rows.groupBy("id").agg(F.min(F.struct("class_hi", "class_lo")).alias("_k"))
+        classes = all_rows.groupBy("id").agg(F.min(F.struct("class_hi", "class_lo")).alias("_k"), F.count(F.lit(1)).alias("_times"))
         reps = classes.groupBy("_k").agg(F.min("id").alias("rep"))
-        self.members = scratch.save(classes.select("id", F.col("_k").alias("_c")).join(reps, F.col("_c") == F.col("_k")).select("id", "rep", "_c"))
-        own = self.members.where("id = rep").select(F.col("rep").alias("_rep"), "_c")
-        keyed = all_rows.join(own, (F.col("id") == F.col("_rep")) & (F.struct("class_hi", "class_lo") == F.col("_c")), "left_semi")
-        slots = lambda c: keyed.select("id", F.posexplode(c).alias("slot", "value"))
+        self.members = scratch.save(classes.select("id", F.col("_k").alias("_c"), "_times").join(reps, F.col("_c") == F.col("_k")).select("id", "rep", "_c", "_times"))
+        slots = lambda c: self.representatives(c).select("id", F.posexplode(c).alias("slot", "value"))
         left, right = _shared(slots("left"), scratch), _shared(slots("right"), scratch)
         right = right.select(F.col("id").alias("_id"), F.col("slot").alias("slot2"), F.col("value").alias("value2"))
         self.keys = scratch.save(left.join(right, F.col("id") == F.col("_id")).select("id", F.xxhash64("slot", "value", "slot2", "value2").alias("key")))
-        self._keyed = keyed
+
+    def representatives(self, *columns: str) -> DataFrame:
+        """(id, columns) of the representatives. Only rows of ids that are none, or that come again, are shuffled: a bitmap of those parts the table where it is read."""
+        rows = self.rows.select("id", "class_hi", "class_lo", *columns)
+        doubtful = self.members.where("id <> rep or _times > 1").select(F.col("id").alias("_d"))
+        parted = with_membership(rows, F.col("id"), doubtful, F.col("_d"), "_doubt")
+        own = self.members.where("id = rep").select(F.col("rep").alias("_rep"), "_c")
+        checked = parted.where("_doubt").join(own, (F.col("id") == F.col("_rep")) & (F.struct("class_hi", "class_lo") == F.col("_c")), "left_semi").dropDuplicates(["id"])
+        return parted.where("not _doubt").select("id", *columns).unionByName(checked.select("id", *columns))
 
     def verify(self, meet: DataFrame) -> DataFrame:
         """(a, b, similarity) of the distinct meetings (a, b) that reach the threshold."""
         scratch, t = self.scratch, self.threshold
         meet = scratch.save(meet.select("a", "b").distinct())
         met = scratch.save(meet.select(F.explode(F.array("a", "b")).alias("_i")).distinct())
-        some = self._keyed.join(met, F.col("id") == F.col("_i"), "left_semi")
-        small = scratch.save(some.groupBy("id").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch")))
+        wanted = lambda m, *c: maybe_in(self.representatives(*c), F.col("id"), m, F.col("_i")).join(m, F.col("id") == F.col("_i"), "left_semi")
+        small = scratch.save(wanted(met, "size", "sketch"))
         side = lambda x: small.select(F.col("id").alias(f"_{x}"), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"q{x}"))
         both = meet.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
         p = t + (1 - t) / 16
@@ -129,7 +135,7 @@ class Banding:
         near = both.where((F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb")) & (agree >= F.lit(least)))
         near = scratch.save(near.select("a", "b"), replaces=meet)
         met = scratch.save(near.select(F.explode(F.array("a", "b")).alias("_i")).distinct(), replaces=met)
-        sets = maybe_in(self._keyed.select("id", "shingles"), F.col("id"), met, F.col("_i")).join(met, F.col("id") == F.col("_i"), "left_semi").dropDuplicates(["id"])
+        sets = wanted(met, "shingles")
         one, two = [sets.select(F.col("id").alias(f"_{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab"]
         joined = near.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")).withColumn("_c", F.size(F.array_intersect("sa", "sb")))
         pairs = joined.select("a", "b", (F.col("_c") / (F.size("sa") + F.size("sb") - F.col("_c"))).alias("similarity"))

@@ -48,15 +48,30 @@ def shingle_set(tokens: list[str], size: int, hashes: WordHash) -> np.ndarray:
     return np.unique(out)
 
 
+#: Shingles that are hashed at a time: two buffers of so many stay in a core's cache.
+CHUNK = 16_384
+
+
 def minhashes(sets: list[np.ndarray], count: int, seed: int) -> np.ndarray:
     """One row per non-empty set with ``count`` minhash values of 64 bits."""
-    flat = np.concatenate(sets)
-    starts = np.zeros(len(sets), dtype=np.int64)
-    np.cumsum([len(s) for s in sets[:-1]], out=starts[1:])
     salts = mix(np.arange(1, count + 1, dtype=np.uint64) * _M1 + np.uint64(seed))
     out = np.empty((len(sets), count), dtype=np.uint64)
-    for i in range(count):
-        out[:, i] = np.minimum.reduceat(mix(flat ^ salts[i]), starts)
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    at = 0
+    while at < len(sets):
+        end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + CHUNK]), CHUNK, side="right")))
+        flat = np.concatenate(sets[at:end])
+        starts = np.cumsum(sizes[at:end]) - sizes[at:end]
+        x, y = np.empty_like(flat), np.empty_like(flat)
+        for i in range(count):
+            np.bitwise_xor(flat, salts[i], out=x)
+            for shift, factor in ((30, _M2), (27, _M3), (31, None)):  # ``mix`` in place
+                np.right_shift(x, np.uint64(shift), out=y)
+                np.bitwise_xor(x, y, out=x)
+                if factor is not None:
+                    np.multiply(x, factor, out=x)
+            out[at:end, i] = np.minimum.reduceat(x, starts)
+        at = end
     return out
 
 

@@ -72,7 +72,7 @@ class Graph:
 
     def save(self, folder: str, buckets: int = 64) -> None:
         """A snapshot: nodes clustered by file, edges by target, so that the usual joins read co-located rows."""
-        self.files.write.mode("overwrite").parquet(f"{folder}/files.parquet")
+        self.files.withColumnRenamed("file_id", "id").write.mode("overwrite").parquet(f"{folder}/files.parquet")
         self.nodes.repartition(buckets, "file_id").sortWithinPartitions("file_id").write.mode("overwrite").parquet(f"{folder}/nodes.parquet")
         self.edges.repartition(buckets, "target_id").sortWithinPartitions("target_id").write.mode("overwrite").parquet(f"{folder}/edges.parquet")
         if self.vectors is not None:

@@ -194,9 +194,10 @@ def project_map(g: Graph) -> DataFrame:
     return rows.select("dir", "files", "symbols", "languages", "key_symbols", "depends_on")
 
 
-def show_node(g: Graph, name: str, path: str | None = None) -> DataFrame:
-    """A symbol with its counts of references by relation group."""
-    n = g.located("name", "type", "start_line", "end_line", "signature").where((F.col("name") == name) & (F.lit(True) if path is None else F.col("path") == path))
+def show_node(g: Graph, name: str | None = None, path: str | None = None, node_id: int | None = None) -> DataFrame:
+    """A symbol, by id or by name and file, with its counts of references by relation group; ``Type.method`` means the qualified name."""
+    named = F.col("id") == node_id if node_id is not None else F.col("qualified_name" if "." in name else "name") == name
+    n = g.located("name", "qualified_name", "type", "start_line", "end_line", "signature").where(named & (F.lit(True) if path is None else F.col("path") == path))
     e = g.edges.groupBy(F.col("target_id").alias("_t")).agg(F.count_if(F.col("relation") == S.CALLS).alias("callers"), F.count(F.lit(1)).alias("references"))
     rows = n.join(e, F.col("id") == F.col("_t"), "left")
     return rows.select("id", "name", "type", "path", "start_line", "end_line", "signature", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("references", F.lit(0)).alias("references"))

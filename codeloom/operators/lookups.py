@@ -65,9 +65,14 @@ def neighbours(g: Graph, relation: str) -> DataFrame:
     return ends.join(n, F.col("other") == F.col("_n")).join(f, F.col("file_id") == F.col("_f"), "left").select("node_id", "direction", "name", F.coalesce("path", F.lit("")).alias("path"))
 
 
-def incoming_references(g: Graph, name: str, relation: str | None = None) -> DataFrame:
-    """References to every node of a name: source symbol, file, relation."""
-    targets = g.nodes.where(F.col("name") == name).select(F.col("id").alias("_t"))
+def incoming_references(g: Graph, name: str | None = None, relation: str | None = None, node_id: int | None = None, path: str | None = None) -> DataFrame:
+    """References to the nodes of a name (of one file where ``path`` is given), or to one node by its id: source symbol, file, relation."""
+    if node_id is not None:
+        targets = g.nodes.where(F.col("id") == node_id).select(F.col("id").alias("_t"))
+    elif path is not None:
+        targets = g.located("name").where((F.col("name") == name) & (F.col("path") == path)).select(F.col("id").alias("_t"))
+    else:
+        targets = g.nodes.where(F.col("name") == name).select(F.col("id").alias("_t"))
     e = g.edges if relation is None else g.edges.where(F.col("relation") == relation)
     e = e.join(targets, F.col("target_id") == F.col("_t"), "left_semi").select("source_id", "target_id", "relation")
     s = g.located("name", "type", "start_line").select(F.col("id").alias("_s"), "name", "type", "path", "start_line")
@@ -167,11 +172,28 @@ def grep(texts: DataFrame, pattern: str, key: str = "path", text: str = "text",
     return texts.select(key, F.explode(hits).alias("h")).select(key, "h.line", "h.content")
 
 
-def source_context(g: Graph, name: str, around: int = 3) -> DataFrame:
-    """The first lines of the code of every node of a name, ``around`` of them; context runs from 0 to 100 lines."""
+def safe_path(path: Column) -> Column:
+    """Whether a path stays below the root: neither absolute nor with a step upwards."""
+    return ~path.rlike(r"^(?:[/\\\\]|[A-Za-z]:)|(?:^|[/\\\\])\.\.(?:[/\\\\]|$)")
+
+
+def source_context(spans: DataFrame, texts: DataFrame, around: int = 3) -> DataFrame:
+    """``spans`` (path, start_line, end_line, ...) with ``code``: these lines of ``texts`` (path, text) and ``around`` more on either side.
+
+    Context runs from 0 to 100 lines. Paths that leave the root, unknown paths and null texts give null.
+    """
     around = max(0, min(100, around))
-    lines = F.split(F.regexp_replace("code_content", "\r\n?", "\n"), "\n")
-    return g.nodes.where(F.col("name") == name).select("id", F.array_join(F.slice(lines, 1, around), "\n").alias("code"))
+    t = texts.select(F.col("path").alias("_p"), F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n").alias("_lines"))
+    first = F.greatest(F.lit(1), F.col("start_line") - around).cast("int")
+    count = F.greatest(F.lit(0), F.col("end_line") + around - first + 1).cast("int")
+    code = F.when(safe_path(F.col("path")), F.array_join(F.slice("_lines", first, count), "\n"))
+    return spans.join(t, F.col("path") == F.col("_p"), "left").withColumn("code", code).drop("_p", "_lines")
+
+
+def names_outside(g: Graph, paths: DataFrame) -> DataFrame:
+    """(id, name, path) of the nodes that are not in the files of ``paths`` (column path)."""
+    p = paths.select(F.col("path").alias("_p")).distinct()
+    return g.located("name").join(p, F.col("path") == F.col("_p"), "left_anti").select("id", "name", "path")
 
 
 def ignoring(df: DataFrame, prefixes: list[str], path: str = "path") -> DataFrame:

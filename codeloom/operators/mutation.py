@@ -33,7 +33,7 @@ def delete_files(g: Graph, gone: DataFrame) -> Graph:
     alive = nodes.select(F.col("id").alias("_n"))
     edges = g.edges.join(alive, F.col("source_id") == F.col("_n"), "left_semi").join(alive, F.col("target_id") == F.col("_n"), "left_semi")
     vectors = None if g.vectors is None else g.vectors.join(alive, F.col("node_id") == F.col("_n"), "left_semi")
-    return replace(g, files=files, nodes=nodes, edges=edges, vectors=vectors)
+    return replace(g, files=files, nodes=nodes, edges=edges, vectors=vectors, raw_nodes=None)
 
 
 def add_edges(g: Graph, more: DataFrame) -> DataFrame:

@@ -377,9 +377,11 @@ def fuzzy_names(g: Graph, name: str, limit: int = 10) -> DataFrame:
     return both.withColumn("_m", F.min("_p").over(Window.partitionBy(F.lit(1)))).where("_p = _m").drop("_p", "_m")
 
 
-def resolve_name(g: Graph, name: str) -> DataFrame:
-    """One row: status Unique, Ambiguous or NotFound, and how many candidates; exact names beat fuzzy ones, ``Type.method`` means the qualified name."""
+def resolve_name(g: Graph, name: str, path: str | None = None) -> DataFrame:
+    """One row: status Unique, Ambiguous or NotFound, and how many candidates; exact names beat fuzzy ones, ``Type.method`` means the qualified name, ``path`` restricts the exact ones to a file."""
     n = g.located("name", "qualified_name", "is_test").where(~P.is_test(F.col("name"), F.col("path"), F.col("is_test")))
+    if path is not None:
+        n = n.where(F.col("path") == path)
     same = F.col("qualified_name") == name if "." in name else F.col("name") == name
     exact = n.where(same).agg(F.count(F.lit(1)).alias("exact"), F.min("id").alias("id"))
     fuzzy = fuzzy_names(g, name.rsplit(".", 1)[-1]).agg(F.count(F.lit(1)).alias("fuzzy"), F.min("id").alias("fuzzy_id"))
@@ -402,6 +404,22 @@ def similar_nodes(g: Graph, node_id: int, top_k: int = 10, cutoff: float = 0.8)
     return rows.select("node_id", "name", "path", F.round(F.lit(1.0) / (F.lit(1.0) + F.col("distance")), 4).alias("similarity"), "cutoff_dropped")
 
 
+def candidates(g: Graph, name: str, limit: int = 10) -> DataFrame:
+    """(id, name, path) of the symbols a name may mean: the exact ones outside tests, or the fuzzy ones where there is none."""
+    n = g.located("name", "qualified_name", "is_test").where(~P.is_test(F.col("name"), F.col("path"), F.col("is_test")))
+    exact = n.where(F.col("qualified_name" if "." in name else "name") == name).select("id", "name", "path", F.lit(0).alias("_p"))
+    both = exact.orderBy("id").limit(limit).unionByName(fuzzy_names(g, name.rsplit(".", 1)[-1], limit).select("id", "name", "path", F.lit(1).alias("_p")))
+    return both.withColumn("_m", F.min("_p").over(Window.partitionBy(F.lit(1)))).where("_p = _m").select("id", "name", "path")  # at most 2 * limit rows
+
+
+def low_confidence(hits: DataFrame, query: str, confidence: float) -> DataFrame:
+    """One row (warning): whether a hybrid result needs one: little confidence and none of the first five has a name of the query."""
+    words = [w.lower() for w in query.split()]
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("relevance"), "id"))  # a bounded list
+    top = hits.withColumn("_r", place).where("_r <= 5").agg(F.count_if(F.lower("name").isin(words)).alias("named"))
+    return top.select(((F.col("named") == 0) & F.lit(confidence < 0.5)).alias("warning"))
+
+
 def strip_outer_generic(text: str) -> str:
     """What stands inside the outermost generic, its last argument: 'Result<Vec<A>, B>' gives 'B'."""
     a, b = text.find("<"), text.rfind(">")

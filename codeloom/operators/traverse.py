@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom import schema as S
@@ -122,6 +122,18 @@ def import_tree(g: Graph, path: str, direction: str = "outgoing", depth: int = 2
     return rows.select("path", "language", "depth", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def direct_symbols(g: Graph, path: str, direction: str = "outgoing", most: int = 20) -> DataFrame:
+    """(path, symbols): the names at the far ends of the imports and calls between a file and each file next to it, the first ``most`` by name."""
+    n = g.located("name")
+    e = g.edges.where(F.col("relation").isin(S.IMPORTS, S.CALLS)).select("source_id", "target_id")
+    a, b = ("source_id", "target_id") if direction == "outgoing" else ("target_id", "source_id")
+    own = n.where(F.col("path") == path).select(F.col("id").alias("_own"))
+    far = n.select(F.col("id").alias("_far"), "name", "path").where(F.col("path") != path)
+    rows = e.join(own, F.col(a) == F.col("_own"), "left_semi").join(far, F.col(b) == F.col("_far")).select("path", "name").distinct()
+    place = F.row_number().over(Window.partitionBy("path").orderBy("name"))
+    return rows.withColumn("_r", place).where(F.col("_r") <= most).groupBy("path").agg(F.array_sort(F.collect_list("name")).alias("symbols"))
+
+
 def dependency_graph(g: Graph, path: str, direction: str = "outgoing", depth: int = 2) -> DataFrame:
     """The import tree without the external file and files of other language families."""
     own = g.files.where(F.col("path") == path).select(F.col("language").alias("_own"))

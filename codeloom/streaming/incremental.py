@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codeloom import schema as S
 from codeloom.graph import Graph
-from codeloom.operators import lookups, mutation
+from codeloom.operators import lookups, mutation, resolve, search
 
 #: Kinds of file events that change content.
 CONTENT_EVENTS = ("create", "remove", "data", "name", "any")
@@ -37,6 +38,31 @@ def incremental(old: Graph, files: DataFrame, rebuild: Callable[[DataFrame], tup
     return new, dirty
 
 
+def latest(files: DataFrame, events: DataFrame) -> DataFrame:
+    """The file table after a batch of events: rows of the file columns, with ``kind`` where the source gives it; of several events of a path the last by ``indexed_at`` counts, 'remove' takes the file away."""
+    gone = F.col("kind") == "remove" if "kind" in events.columns else F.lit(False)
+    seen = content_events(events) if "kind" in events.columns else events
+    last = seen.groupBy("path").agg(F.max(F.struct("indexed_at", gone.alias("_gone"), *[c for c in files.columns if c not in ("path", "indexed_at")])).alias("_r"))
+    kept = files.join(last.select(F.col("path").alias("_p")), F.col("path") == F.col("_p"), "left_anti")
+    return kept.unionByName(last.where("not _r._gone").select("path", "_r.*").select(*files.columns))
+
+
+def with_contexts(g: Graph, dirty: DataFrame) -> DataFrame:
+    """The nodes with the contexts of ``dirty`` (column id), and of nodes that have none, made again."""
+    wanted = dirty.select("id").unionByName(g.nodes.where("context_string is null").select("id")).distinct()
+    return mutation.update_contexts(g.nodes, resolve.context_strings(g, wanted))
+
+
+def embed_missing(g: Graph, embedder: search.Embedder, most: int = 10_000) -> Graph:
+    """The graph with vectors for the ``most`` referenced nodes that have a context and none yet; vectors of another dimension are made again, rows that fail stay open."""
+    held = None if g.vectors is None else search.check_dimension(g.vectors, embedder.dimension)
+    g = replace(g, vectors=held)
+    todo = lookups.unembedded(g, most).select(F.col("id").alias("_i"))
+    rows = g.nodes.join(todo, F.col("id") == F.col("_i"), "left_semi").select("id", "context_string")
+    made = search.normalised(search.embed_nodes(rows, embedder).where("embedding is not null").select("node_id", "embedding"))
+    return g.with_vectors(made if held is None else mutation.replace_vectors(held, made))
+
+
 def watch(spark: SparkSession, folder: str, schema: str, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "30 seconds", files_per_trigger: int = 1000) -> StreamingQuery:
     """One incremental pass a micro-batch over the file events of a folder; without ``every`` what is there is worked off once."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
@@ -54,6 +80,19 @@ def usage_stream(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("tool").agg(F.sum("s.n").alias("n"), F.sum("s.ms").alias("ms"), F.sum("s.err").alias("err"), F.max("s.max_ms").alias("max_ms"))
 
 
+def usage_stream_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Streaming totals per tool and kind of error."""
+    rows = spark.readStream.schema(S.USAGE).parquet(folder).select(F.explode("tools").alias("tool", "s"))
+    return rows.select("tool", F.explode("s.err_kinds").alias("kind", "k")).groupBy("tool", "kind").agg(F.sum("k").alias("n"))
+
+
+def usage_stream_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Streaming totals of searches: queries, misses and quality weighted by queries."""
+    q = F.col("search.queries")
+    rows = spark.readStream.schema(S.USAGE).parquet(folder)
+    return rows.agg(F.sum(q).alias("queries"), F.sum("search.zero").alias("zero"), F.try_divide(F.sum(F.col("search.avg_quality") * q), F.sum(q)).alias("avg_quality"))
+
+
 def windowed_usage(rows: DataFrame, late: str = "4 days", window: str = "1 day") -> DataFrame:
     """Sessions and calls by event-time window, late records accepted up to ``late`` (an extension; streaming or batch)."""
     calls = F.aggregate(F.map_values("tools"), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["n"], F.lit(0).cast("long")))

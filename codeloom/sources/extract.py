@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from codeloom import schema as S
+from codeloom.storage import Scratch
 
 SYMBOL = "node_type string, name string, qualified_name string, start_line int, end_line int, code_content string, signature string, doc_comment string, return_type string, param_types string, is_test boolean"
 RELATION = "source_name string, target_name string, relation string, metadata string, source_language string"
@@ -285,6 +286,7 @@ _IMPORTS = {
     "c": re.compile(r"^\s*#include\s*[<\"]([^>\"]+)"),
     "ruby": re.compile(r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)"),
 }
+_MORE_ARROWS = re.compile(rf"[,;]\s*(?:const\s+|let\s+|var\s+)?({_WORD})\s*=\s*(?:async\s*)?(\([^()]*\))\s*(?::\s*[\w<>\[\]| ]+)?=>")
 _SUPER = re.compile(rf"\b(?:class|interface|struct|record|object)\s+({_WORD})\s*(?:<[^>{{]*>)?\s*(?:\([^)]*\))?\s*(?:extends\s+([\w.<>, ]+?))?\s*(?:implements\s+([\w.<>, ]+?))?\s*(?::\s*([\w.<>, ()]+?))?\s*(?:\{{|$)")
 _RUBY_SUPER = re.compile(r"^\s*class\s+([A-Z]\w*)\s*<\s*([A-Z][\w:]*)")
 _IMPL = re.compile(rf"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:([\w:]+)(?:<[^>]*>)?\s+for\s+)?({_WORD})")
@@ -313,6 +315,61 @@ def _end(lines: list[str], at: int, family: str) -> int:
     return at if not seen else len(lines) - 1
 
 
+_STATEMENT = {"js": re.compile(r"^\s*(?:import|export)\b[^'\";]*$"), "rust": re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\b[^;]*$"), "go": re.compile(r"^import\s*\($")}
+
+
+def _whole(lines: list[str], at: int, family: str) -> str:
+    """The statement that begins at a line: imports up to their end, headers up to the bracket that closes their parameters. What never closes is its first line."""
+    line = lines[at]
+    if family in ("js", "rust") and _STATEMENT[family].match(line) and (family == "rust" or "{" in line or "*" in line or line.split()[0] == "import"):
+        end = ";" if family == "rust" else None
+        text = line
+        for k in range(at + 1, len(lines)):
+            text += " " + lines[k].strip()
+            if end in text if end else re.search(r"from\s*['\"][^'\"]+['\"]", text):
+                return text
+            if end is None and re.match(r"^\s*(?:import|export|const|let|var|function|class)\b", lines[k]):
+                return line  # an export list, or an import that is never closed
+        return line
+    open_ = line.count("(") - line.count(")")
+    if open_ > 0 and re.search(r"\b(?:function|fn|func|fun|def|const|let|var|public|private|protected|internal|static|void|int|class)\b", line):
+        text = line
+        for k in range(at + 1, len(lines)):
+            text += " " + lines[k].strip()
+            open_ += lines[k].count("(") - lines[k].count(")")
+            if open_ <= 0:
+                return text
+            if re.match(r"^\s*(?:export\s+)?(?:async\s+)?(?:pub\s+)?(?:function|fn|func|fun|def|class|struct|interface)\b", lines[k]):
+                return line
+    return line
+
+
+def use_leaves(tree: str) -> list[str]:
+    """The names a use tree brings in: 'a::{b, c::{d as e, self}}' gives b, d and c; globs give none."""
+    out: list[str] = []
+
+    def walk(text: str, parent: str) -> None:
+        depth, start, parts = 0, 0, []
+        for i, ch in enumerate(text + ","):
+            depth += (ch == "{") - (ch == "}")
+            if ch == "," and depth == 0:
+                parts.append(text[start:i].strip())
+                start = i + 1
+        for part in filter(None, parts):
+            head, brace, rest = part.partition("{")
+            if brace:
+                walk(rest.rsplit("}", 1)[0], head.strip().rstrip(":").rsplit("::", 1)[-1] or parent)
+                continue
+            name = part.split(" as ")[0].strip().rsplit("::", 1)[-1]
+            if name == "self":
+                name = parent
+            if name and name != "*":
+                out.append(name)
+
+    walk(tree.strip().rstrip(";"), "")
+    return out
+
+
 def lex(source: str, language: str) -> tuple[list[tuple], list[tuple]]:
     """Symbols and relations by line rules; what the rules do not know is skipped."""
     family = _FAMILY[language]
@@ -336,8 +393,9 @@ def lex(source: str, language: str) -> tuple[list[tuple], list[tuple]]:
         if (family == "rust" and re.match(r"^\s*mod\s+tests\b", line)) or (family == "js" and re.match(r"^\s*(?:describe|it|test)\s*\(", line)):
             tests_until = max(tests_until, _end(lines, i, family))
         declared = None
+        whole = _whole(lines, i, family)
         for kind, rx in _DECLARE[family]:
-            m = rx.match(line)
+            m = rx.match(whole)
             if not m or m.group(1) in _NOT_CALLS or (kind == "method" and family == "js" and owner is None):
                 continue
             groups = [*m.groups(), None, None]
@@ -361,20 +419,21 @@ def lex(source: str, language: str) -> tuple[list[tuple], list[tuple]]:
                 relations.append((S.MODULE, name, S.EXPORTS, None, language))
             declared = name
             break
+        if family == "js":  # further named arrows of the line
+            for m in _MORE_ARROWS.finditer(line):
+                symbols.append(("function", m.group(1), m.group(1), i + 1, i + 1, cut(line), m.group(2), None, None, m.group(2), i <= tests_until))
         scope = next((s[2] for s in reversed(scopes) if s[1] in ("function", "method")), S.MODULE)
         code = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|//.*", "\"\"", line)
         for m in _CALL.finditer(code):
             if m.group(1) not in _NOT_CALLS and m.group(1) != declared and not re.match(r"^\s*(?:#|\*|import\b|use\b)", code):
                 relations.append((scope, m.group(1), S.CALLS, None, language))
-        if family in _IMPORTS and (m := _IMPORTS[family].match(line)):
+        if family in _IMPORTS and (m := _IMPORTS[family].match(whole)):
             named = [g for g in m.groups() if g]
             if family == "js":
-                parts = [x.strip().split(" as ")[0].strip() for g in named[:-1] for x in g.split(",")]
+                parts = [x.strip().removeprefix("type ").split(" as ")[0].strip() for g in named[:-1] for x in g.split(",")]
                 relations.extend((S.MODULE, x, S.IMPORTS, None, language) for x in parts if x)
             elif family == "rust":
-                head, _, tail = named[0].partition("{")
-                leaves = tail.rstrip("} ").split(",") if tail else [head]
-                relations.extend((S.MODULE, x.strip().split(" as ")[0].rsplit("::", 1)[-1], S.IMPORTS, None, language) for x in leaves if x.strip() and x.strip() not in ("self", "*"))
+                relations.extend((S.MODULE, x, S.IMPORTS, None, language) for x in use_leaves(named[0]))
             else:
                 relations.append((S.MODULE, re.split(r"[/.\\]", named[0].removesuffix(".h").rstrip("/"))[-1], S.IMPORTS, None, language))
         if m := _SUPER.search(line):
@@ -430,7 +489,7 @@ def parse(source: str | None, language: str | None) -> tuple[list[tuple], list[t
         return [], []
 
 
-@udtf(returnType=SYMBOL)
+@udtf(returnType=SYMBOL, useArrow=True)
 class extract_symbols:
     """Symbol rows of (source, language)."""
 
@@ -438,7 +497,7 @@ class extract_symbols:
         yield from parse(source, language)[0]
 
 
-@udtf(returnType=RELATION)
+@udtf(returnType=RELATION, useArrow=True)
 class extract_relations:
     """Relation rows of (source, language)."""
 
@@ -452,21 +511,23 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("extract_relations", extract_relations)
 
 
-def extract(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(symbols, relations) of (path, language, source), each parsed once per output in Arrow batches."""
-
-    def run(part: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        names = ["path", "language", *[c.split()[0] for c in (SYMBOL, RELATION)[part].split(", ")]]
-
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows = [(p, lang, *r) for p, lang, s in zip(b["path"], b["language"], b["source"]) for r in parse(s, lang)[part]]
-                yield pd.DataFrame(rows, columns=names)
+def extract(sources: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(symbols, relations) of (path, language, source). Each text is parsed once, in Arrow batches; both kinds of rows are written together and read apart."""
+    scratch = scratch or Scratch(sources.sparkSession)
+    names = [[c.split()[0] for c in spec.split(", ")] for spec in (SYMBOL, RELATION)]
 
-        return each
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p, lang, s in zip(b["path"], b["language"], b["source"]):
+                symbols, relations = parse(s, lang)
+                rows += [(p, lang, "symbol", *r, *[None] * len(names[1])) for r in symbols]
+                rows += [(p, lang, "relation", *[None] * len(names[0]), *r) for r in relations]
+            yield pd.DataFrame(rows, columns=["path", "language", "row", *names[0], *names[1]], dtype=object)
 
     rows = sources.select("path", "language", "source")
-    return tuple(rows.mapInPandas(run(k), f"path string, language string, {spec}") for k, spec in enumerate((SYMBOL, RELATION)))  # type: ignore[return-value]
+    both = scratch.save(rows.mapInPandas(each, f"path string, language string, row string, {SYMBOL}, {RELATION}"))
+    return tuple(both.where(F.col("row") == kind).select("path", "language", *names[k]) for k, kind in enumerate(("symbol", "relation")))  # type: ignore[return-value]
 
 
 def skipped(sources: DataFrame) -> DataFrame:
@@ -489,10 +550,10 @@ def build(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     from codeloom.functions.identifiers import split_column
     from codeloom.graph import node_key
     from codeloom.operators.resolve import resolve, resolve_modules, sentinels
-    from codeloom.storage import Scratch
 
     files = sources.select(F.xxhash64("path").alias("id"), "path", "content_hash", "last_modified", "language", F.unix_timestamp().alias("indexed_at"))
-    symbols, relations = extract(sources)
+    scratch = Scratch(sources.sparkSession)
+    symbols, relations = extract(sources, scratch)
     n = symbols.select(
         node_key(F.col("path"), F.col("node_type"), F.col("qualified_name"), F.col("start_line")).alias("id"), F.xxhash64("path").alias("file_id"), F.col("node_type").alias("type"), "name", "qualified_name",
         F.col("start_line").cast("long"), F.col("end_line").cast("long"), "code_content", "signature", "doc_comment", F.lit(None).cast("string").alias("context_string"),
@@ -503,7 +564,7 @@ def build(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.lit(0).cast("long").alias("start_line"), F.lit(0).cast("long").alias("end_line"), F.lit("").alias("code_content"), *[F.lit(None).cast("string").alias(c) for c in ("signature", "doc_comment", "context_string", "name_tokens", "return_type", "param_types")],
         F.lit(False).alias("is_test"), "path", "language",
     )
-    scratch = Scratch(sources.sparkSession)  # both are read by several branches below
+    # nodes and relations are read by several branches below
     nodes = scratch.save(n.unionByName(module))
     # the source of a relation: its qualified name in the file first, then the bare name
     own = nodes.select(F.col("id").alias("source_id"), F.col("path").alias("_p"), F.explode(F.array_distinct(F.array(F.when(F.col("type") == "module", F.lit(S.MODULE)).otherwise(F.col("qualified_name")), "name"))).alias("_key"), "qualified_name")

@@ -68,7 +68,7 @@ def test_extraction_and_build(spark):
     n = {r["id"]: (r["name"], r["qualified_name"]) for r in nodes.collect()}
     links = {(n[r["source_id"]][1], n[r["target_id"]][0], r["relation"]) for r in edges.collect()}
     assert {("Kid.go", "helper", "calls"), ("users", "helper", "calls"), ("Admin.log", "pretty", "calls"), ("Run", "help", "calls")} <= links
-    assert files.count() == len(SOURCES)
+    assert sorted(r["path"] for r in files.collect()) == sorted([S.EXTERNAL, *[p for p, _, _ in SOURCES]])  # the pseudo-file holds the sentinels of unresolved supertypes
     again = extract.build(src)[2]
     assert {r["id"] for r in again.collect()} == {r["id"] for r in edges.collect()}
 
@@ -335,3 +335,15 @@ def test_a_name_with_many_definitions(spark):
     got = resolve.resolve(rel, symbols)
     assert got.count() == 20_000 and got.where("target_id <> rel_id * 5").count() == 0
     assert time.perf_counter() - begin < 120
+
+
+def test_statements_over_several_lines():
+    targets = lambda text, lang: [r[1] for r in extract.parse(text, lang)[1] if r[2] == "imports"]
+    assert targets("import {\n  a,\n  type B,\n  c as d,\n} from './x';\nimport e, { f } from 'y';\nimport * as g from 'z';\nexport {\n  h\n} from 'q'\n", "typescript") == ["a", "B", "c", "e", "f", "g", "h"]
+    assert targets("use a::{b, c::{d as e, self}, f::*};\npub use x::y;\nuse m::{\n    n,\n    o::p,\n};\n", "rust") == ["b", "d", "c", "y", "n", "p"]
+    assert targets("import {\n  never\nconst x = 1;\nimport { ok } from 'k';\n", "javascript") == ["ok"]
+    names = lambda text, lang: [r[1] for r in extract.parse(text, lang)[0]]
+    assert names("export function long(\n  a: string,\n  b: number,\n): void {\n  go(a);\n}\nconst p = (x) => x, q = (y) => y;\n", "typescript") == ["long", "p", "q"]
+    assert names("public void put(\n    int a,\n    int b) {\n}\n", "java") == ["put"]
+    assert names("pub fn load(\n    path: &Path,\n) -> Result<()> {\n}\nfn next() {}\n", "rust") == ["load", "next"]
+    assert names("function broken(\nfunction fine(a) {\n}\n", "javascript")[-1] == "fine"

@@ -353,3 +353,12 @@ def test_labels_are_the_most_likely_path():
 
     best = max(itertools.product(range(5), repeat=4), key=score)
     assert tuple(model.label(obs)) == best
+
+
+def test_labels_of_many_pages_at_once():
+    model = spam.LineModel()
+    rng = np.random.default_rng(1)
+    pages = [np.stack([rng.integers(0, n, k) for n in spam.SIZES], 1) for k in (3, 0, 40, 1, 17, 17, 2, 200)]
+    for cells in (1, 300, 10**6):
+        assert all(np.array_equal(a, model.label(b)) for a, b in zip(model.label_all(pages, cells), pages))
+    assert model.label_all([]) == []

@@ -39,20 +39,23 @@ def inherit_links(nodes: DataFrame, edges: DataFrame, relation: str = "inherits"
 
 def _doubled(scratch: Scratch, state: DataFrame, active: int) -> tuple[DataFrame, bool]:
     """Rounds of pointer doubling; state: v, jump, steps, done, size. Second: whether unresolved nodes remain."""
+    def grown(rows: DataFrame, before: DataFrame, k: int) -> DataFrame:
+        adds = before.where(F.col("steps") == F.lit(1 << k)).groupBy(F.col("jump").alias("_to")).agg(F.sum("size").alias("_add"))
+        rows = rows.join(adds, F.col("v") == F.col("_to"), "left")
+        return rows.withColumn("size", F.col("size") + F.coalesce("_add", F.lit(0))).drop("_to", "_add")
+
     k = 0
     while active:
-        adds = state.where(F.col("steps") == F.lit(1 << k)).groupBy(F.col("jump").alias("_to")).agg(F.sum("size").alias("_add"))
         right = state.select(F.col("v").alias("_v"), F.col("jump").alias("_j"), F.col("steps").alias("_s"), F.col("done").alias("_d"))
         go = state.where("not done").join(right, F.col("jump") == F.col("_v")).select(
             "v", F.col("_j").alias("jump"), (F.col("steps") + F.col("_s")).alias("steps"), F.col("_d").alias("done"), "size"
         )
-        new = go.unionByName(state.where("done")).join(adds, F.col("v") == F.col("_to"), "left")
-        new = new.withColumn("size", F.col("size") + F.coalesce("_add", F.lit(0))).drop("_to", "_add")
+        new = grown(go.unionByName(state.where("done")), state, k)
         state, seen = scratch.save_counting(new, state, left=~F.col("done"))
         if seen["left"] == active:
             return state, True
         active, k = seen["left"], k + 1
-    return state, False
+    return scratch.save(grown(state, state, k), state), False  # nodes exactly 2^k below an ancestor, where no chain is longer
 
 
 def _cycles(scratch: Scratch, links: DataFrame, state: DataFrame) -> DataFrame:
@@ -202,28 +205,36 @@ def hierarchy(links: DataFrame) -> DataFrame:
     return out.unionByName(loops)
 
 
-def ancestor_pairs(tree: DataFrame) -> DataFrame:
-    """(ancestor_id, node_id, distance) for every proper ancestor: chain prefixes joined with the members of the chain.
+#: Positions of a descendant interval that are enumerated at a time.
+SPAN = 100_000
+
+
+def descendant_pairs(tree: DataFrame) -> DataFrame:
+    """(ancestor_id, node_id, distance) for every descendant of every node: each node's interval of preorder numbers, enumerated and joined with the numbers.
 
-    Its size is the sum of all depths, the size of the answer itself.
+    Its size is that of the answer, the sum of all depths. Long intervals are cut into spans before they are enumerated, and the side that is joined has one
+    row a number, so neither a large tree nor a hot root is gathered anywhere.
     """
-    own = tree.where("not in_cycle").select(
-        F.col("node_id"), F.col("depth"), F.explode(F.concat("segments", F.array(F.struct(F.col("chain_id").alias("chain"), (F.col("chain_pos") - 1).alias("upto"))))).alias("_s")
-    )
-    members = tree.where("not in_cycle").select(
-        F.col("chain_id").alias("_chain"), F.col("chain_pos").alias("_pos"), F.col("node_id").alias("ancestor_id"), F.col("depth").alias("_depth")
-    )
-    return own.join(members, (F.col("_s.chain") == F.col("_chain")) & (F.col("_pos") <= F.col("_s.upto"))).select(
-        "ancestor_id", "node_id", (F.col("depth") - F.col("_depth")).alias("distance")
-    )
+    inner = tree.where("not in_cycle and n_descendants > 0").select(F.col("node_id").alias("ancestor_id"), F.col("root_id").alias("_root"), F.col("depth").alias("_depth"), (F.col("tin") + 1).alias("_first"), F.col("tout").alias("_end"))
+    spans = inner.withColumn("_at", F.explode(F.sequence(F.col("_first"), F.col("_end") - 1, F.lit(SPAN).cast("long"))))
+    each = spans.withColumn("_no", F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + SPAN, F.col("_end")) - 1)))
+    nodes = tree.where("not in_cycle").select("node_id", "root_id", "tin", "depth")
+    return each.join(nodes, (F.col("_root") == F.col("root_id")) & (F.col("_no") == F.col("tin"))).select("ancestor_id", "node_id", (F.col("depth") - F.col("_depth")).alias("distance"))
 
 
 def paths(tree: DataFrame) -> DataFrame:
-    """(node_id, root_id, depth, path, n_descendants, in_cycle); path holds the ids from the root to the node, null in a cycle."""
-    up = ancestor_pairs(tree).groupBy(F.col("node_id").alias("_n")).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor_id"))).alias("_up")
-    )
-    full = F.concat(F.coalesce(F.transform("_up", lambda x: x["ancestor_id"]), F.array().cast("array<bigint>")), F.array("node_id"))
-    return tree.join(up, F.col("node_id") == F.col("_n"), "left").select(
-        "node_id", "root_id", "depth", F.when(~F.col("in_cycle"), full).alias("path"), "n_descendants", "in_cycle"
-    )
+    """(node_id, root_id, depth, path, n_descendants, in_cycle); path holds the ids from the root to the node, null in a cycle.
+
+    Chain segments are concatenated: each chain is one array of its members, the path to a chain's head is put together once a chain from the
+    prefixes of at most log2(n) others, and a node adds the prefix of its own. No chain is longer than the path of its last member.
+    """
+    tree = Scratch(tree.sparkSession).save(tree)
+    members = F.transform(F.array_sort(F.collect_list(F.struct("chain_pos", "node_id"))), lambda x: x["node_id"])
+    chains = tree.where("not in_cycle").groupBy(F.col("chain_id").alias("_chain")).agg(members.alias("_members"))
+    heads = tree.where("not in_cycle and chain_pos = 0").select("chain_id", F.posexplode("segments").alias("_k", "_s"))
+    part = F.slice("_members", F.lit(1), (F.col("_s.upto") + 1).cast("int"))
+    above = heads.join(chains, F.col("_s.chain") == F.col("_chain")).select("chain_id", F.struct("_k", part.alias("p")).alias("_part"))
+    above = above.groupBy(F.col("chain_id").alias("_head")).agg(F.flatten(F.transform(F.array_sort(F.collect_list("_part")), lambda x: x["p"])).alias("_above"))
+    rows = tree.join(chains, F.col("chain_id") == F.col("_chain"), "left").join(above, F.col("chain_id") == F.col("_head"), "left")
+    full = F.concat(F.coalesce("_above", F.array().cast("array<bigint>")), F.slice("_members", F.lit(1), (F.col("chain_pos") + 1).cast("int")))
+    return rows.select("node_id", "root_id", "depth", F.when(~F.col("in_cycle"), full).alias("path"), "n_descendants", "in_cycle")

@@ -56,4 +56,4 @@ def p1_paths(spark, d):
     f"with recursive {_LINKS} select a ancestor_id, node_id, cast(k as bigint) distance from (select node_id, unnest(list_append(seen[2:], root_id)) a, unnest(range(1, depth + 1)) k from ends)",
 )
 def p1_descendants(spark, d):
-    return H.ancestor_pairs(_tree(spark, d))
+    return H.descendant_pairs(_tree(spark, d))

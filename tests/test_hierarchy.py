@@ -50,7 +50,13 @@ def test_against_brute_force(spark, seed):
     spans = {r["node_id"]: r for r in tree.where("not in_cycle").collect()}
     pairs = {(a, v) for v, w in want.items() for a in (w[2] or [])[:-1]}
     inside = {(a, v) for a, x in spans.items() for v, y in spans.items() if x["root_id"] == y["root_id"] and x["tin"] < y["tin"] < x["tout"]}
-    assert inside == pairs == {(r["ancestor_id"], r["node_id"]) for r in H.ancestor_pairs(tree).collect()}
+    assert inside == pairs == {(r["ancestor_id"], r["node_id"]) for r in H.descendant_pairs(tree).collect()}
+
+
+def test_long_intervals_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(H, "SPAN", 3)
+    tree = H.hierarchy(spark.createDataFrame([(i, 0) for i in range(1, 20)] + [(20, 19)], "child long, parent long"))
+    assert sorted((r["ancestor_id"], r["node_id"], r["distance"]) for r in H.descendant_pairs(tree).collect()) == sorted([(0, i, 1) for i in range(1, 20)] + [(0, 20, 2), (19, 20, 1)])
 
 
 def test_only_cycles_and_empty(spark):

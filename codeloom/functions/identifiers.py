@@ -62,11 +62,13 @@ def query_terms(query: str) -> list[str]:
     return [w for w in cleaned if len(w.encode()) >= 2]
 
 
+#: Letters with marks by their plain letter.
+MARKED = {"a": "áàâäãåā", "c": "çćč", "e": "éèêëēėę", "i": "íìîïī", "n": "ñń", "o": "óòôöõøō", "s": "śš", "u": "úùûüū", "y": "ýÿ", "z": "žźż"}
+
+
 def fold(text: Column) -> Column:
     """Lower case without combining marks, as the text index compares."""
-    plain = "áàâäãåāçćčéèêëēėęíìîïīñńóòôöõøōśšúùûüūýÿžźż"
-    ascii_ = "aaaaaaacccee" + "eeeeeiiiiinnooooooossuuuuuyyzzz"
-    return F.translate(F.lower(text), plain, ascii_)
+    return F.translate(F.lower(text), "".join(m for ms in MARKED.values() for m in ms), "".join(c * len(ms) for c, ms in MARKED.items()))
 
 
 _VOWEL = "aeiou"

@@ -16,8 +16,8 @@ R = Registry()
 
 QUERY = "parse node index"
 TERMS = ["index", "node", "parse"]
-_PLAIN = "áàâäãåāçćčéèêëēėęíìîïīñńóòôöõøōśšúùûüūýÿžźż"
-_ASCII = "aaaaaaacccee" + "eeeeeiiiiinnooooooossuuuuuyyzzz"
+_PLAIN = "".join(I.MARKED.values())
+_ASCII = "".join(c * len(ms) for c, ms in I.MARKED.items())
 
 
 def _tokens(c: str) -> str:

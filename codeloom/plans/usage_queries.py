@@ -10,7 +10,7 @@ from codeloom import schema as S
 from codeloom.functions import predicates as P
 from codeloom.operators import lookups as L
 from codeloom.operators import usage as U
-from codeloom.plans.graph_queries import graph
+from codeloom.plans.graph_queries import graph, sql
 from codeloom.plans.registry import Registry
 from codeloom.sources import extract as E
 from codeloom.sources import scan
@@ -81,9 +81,18 @@ def majority_vote(spark, d):
     return U.majority(table(spark, d, "events").select(F.col("user_id").alias("query"), F.col("event_id").alias("run"), F.col("event_type").alias("picked")))
 
 
-@R.query("error_kinds", "select event_id, case when event_type = 'click' then 'ambiguous' when event_type = 'view' then 'not_found' else 'other' end as kind from events")
+#: A message of every form the classes know, and some that several or none fit, with its class.
+MESSAGES = [
+    ("FOREIGN KEY constraint failed", "fk"), ("Ambiguous symbol 'x': FOREIGN KEY constraint failed", "fk"), ("Indexing in progress", "timeout"), ("busy, retry your request", "timeout"), ("Ambiguous symbol 'run'", "ambiguous"),
+    ("Symbol 'x' not found in index", "not_found"), ("path not found in the index", "not_found"), ("query must not be empty", "empty_input"), ("Must pass a query", "empty_input"), ("Usage: grep PATTERN", "empty_input"),
+    ("see Usage: grep", "other"), ("ambiguous symbol", "other"), ("", "other"),
+]
+
+
+@R.query("error_kinds", "select event_id, [%s][event_id %% %d + 1] as kind from events" % (", ".join(f"'{k}'" for _, k in MESSAGES), len(MESSAGES)))
 def error_kinds(spark, d):
-    text = F.when(F.col("event_type") == "click", "Ambiguous symbol x").when(F.col("event_type") == "view", "x not found in index").otherwise("failed")
+    """The class of an error message of each form, one form an event."""
+    text = F.element_at(F.array(*[F.lit(m) for m, _ in MESSAGES]), (F.col("event_id") % len(MESSAGES)).cast("int") + 1)
     return table(spark, d, "events").select("event_id", P.error_kind(text).alias("kind"))
 
 
@@ -133,6 +142,34 @@ def extract_relations(spark, d):
     return rel.groupBy("relation", "source_language").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Import lines by language, as the regular expressions of the SQL: the group is the imported name.
+_IMPORT_LINES = {
+    "rust": r"^\s*(?:pub\s+)?use\s+(?:\w+::)*(\w+);",
+    "go": r'^\s*import\s+"(?:[^"/]+/)*([^"/]+)"\s*$',
+    "java": r"^\s*import\s+(?:\w+\.)*(\w+)\s*;",
+    "csharp": r"^\s*using\s+(?:\w+\.)*(\w+)\s*;",
+    "c": r'^\s*#include\s*[<"](?:[^>"/]+/)*([^>"/.]+)(?:\.h)?[>"]',
+    "ruby": r"^\s*require(?:_relative)?\s+'(?:[^'/]+/)*([^'/]+)'",
+    "python": r"^import\s+(?:\w+\.)*(\w+)\s*$",
+}
+_NAME_LISTS = {"python": r"^from\s+[\w.]+\s+import\s+([\w, ]+)$", **dict.fromkeys(("javascript", "typescript", "tsx"), r"""^\s*import\s+(?:type\s+)?\{([^}]*)\}\s*from\s*['"]""")}
+
+
+@R.query("import_relations", sql(
+    "ml as (select path, lang, unnest(string_split(replace(code_content, chr(13), ''), chr(10))) l from loc where type = 'module' and code_content is not null), im as ("
+    + " union all ".join(
+        [f"select path, regexp_extract(l, $r${rx}$r$, 1) t from ml where lang = '{lang}'" for lang, rx in _IMPORT_LINES.items()]
+        + [f"select path, unnest(string_split(regexp_extract(l, $r${rx}$r$, 1), ',')) from ml where lang = '{lang}'" for lang, rx in _NAME_LISTS.items()]
+    )
+    + ") select path, trim(t) target_name, count(*) n from im where trim(t) <> '' group by 1, 2"
+))
+def import_relations(spark, d):
+    """The import relations of the heads of all files, extracted by the parsers of nine languages."""
+    heads = graph(spark, d).located("type", "code_content").where(F.col("type") == "module")
+    rel = E.extract(heads.select("path", "language", F.col("code_content").alias("source")))[1]
+    return rel.where(F.col("relation") == S.IMPORTS).groupBy("path", "target_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @R.query("rebuild_graph")
 def rebuild_graph(spark, d):
     """The graph built again from the texts of its own files, counted by relation: parse, ids, tiered resolution; and the files not parsed in full."""

@@ -155,6 +155,30 @@ _IMPORT_LINES = {
 _NAME_LISTS = {"python": r"^from\s+[\w.]+\s+import\s+([\w, ]+)$", **dict.fromkeys(("javascript", "typescript", "tsx"), r"""^\s*import\s+(?:type\s+)?\{([^}]*)\}\s*from\s*['"]""")}
 
 
+#: Headers on a first line by language: the group is the name.
+_HEADERS = {
+    "python": r"^(?:async\s+)?def\s+([\p{L}\p{N}_]+)\s*\(",
+    "ruby": r"^\s*def\s+(?:self\.)?([\p{L}_][\p{L}\p{N}_]*[?!=]?)",
+    "go": r"^func\s+(?:\([^)]*\)\s*)?([\p{L}\p{N}_]+)\s*\(",
+    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+([\p{L}_$][\p{L}\p{N}_$]*)",
+    **dict.fromkeys(("javascript", "typescript", "tsx"), r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([\p{L}_$][\p{L}\p{N}_$]*)\s*\("),
+}
+
+
+@R.query("udtf_headers", sql(
+    " union all ".join(
+        f"select id, regexp_extract(h, $r${rx}$r$, 1) as name from (select id, lang, string_split(replace(code_content, chr(13), ''), chr(10))[1] h from loc where type in ('function', 'method')) "
+        f"where lang = '{lang}' and regexp_matches(h, $r${rx}$r$)"
+        for lang, rx in _HEADERS.items()
+    )
+))
+def udtf_headers(spark, d):
+    """The function that the table function finds on the first line of each function's code, in seven languages."""
+    found = udtf_symbols(spark, d).where((F.col("start_line") == 1) & F.col("node_type").isin("function", "method"))
+    own = graph(spark, d).located("type").select(F.col("id").alias("_i"), "language").where(F.col("language").isin(*_HEADERS))
+    return found.join(own, F.col("id") == F.col("_i")).select("id", "name")
+
+
 @R.query("import_relations", sql(
     "ml as (select path, lang, unnest(string_split(replace(code_content, chr(13), ''), chr(10))) l from loc where type = 'module' and code_content is not null), im as ("
     + " union all ".join(

@@ -229,7 +229,7 @@ def unparsed_lines(source: str | None, language: str | None) -> int:
     return sum(1 for a, b in spans for x in lines[a:b] if x.strip())
 
 
-_WORD = r"[A-Za-z_$][\w$]*"
+_WORD = r"(?:[^\W\d]|\$)[\w$]*"
 _DECLARE = {
     "js": [
         ("function", re.compile(rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_WORD})\s*(?:<[^>]*>)?\s*(\([^)]*\))(?:\s*:\s*([^{{]+))?")),
@@ -396,8 +396,10 @@ def lex(source: str, language: str) -> tuple[list[tuple], list[tuple]]:
         whole = _whole(lines, i, family)
         for kind, rx in _DECLARE[family]:
             m = rx.match(whole)
-            if not m or m.group(1) in _NOT_CALLS or (kind == "method" and family == "js" and owner is None):
+            if not m or (kind == "method" and family == "js" and owner is None):
                 continue
+            if m.group(1) in _NOT_CALLS and (family == "c" or (kind == "method" and family in ("js", "jvm"))):
+                continue  # no keyword says that this is a declaration: it may be a statement
             groups = [*m.groups(), None, None]
             name, params, back = groups[0], groups[1] or None, (groups[2] or "").strip() or None
             end = _end(lines, i, family)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.tokens import TOKENIZER_DIR, VOCABULARY, token_count
+from codeloom.operators.dedupe import one_per_key
 from codeloom.storage import Scratch
 
 #: Parameter table rows that may be read by the driver.
@@ -27,9 +28,9 @@ MOST_SIZES = 1000
 
 
 def sizes(documents: DataFrame, scratch: Scratch, folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_tokens, *keep) with one row an id, tokenised once and written; null ids are dropped, null texts have 0 tokens."""
-    rows = documents.where("doc_id is not null").select("doc_id", token_count(F.col("text"), folder, vocabulary).alias("n_tokens"), *keep)
-    return scratch.save(rows.dropDuplicates(["doc_id"]))
+    """(doc_id, n_tokens, *keep) with one row an id, the least of several, tokenised once and written; null ids are dropped, null texts have 0 tokens."""
+    once = one_per_key(documents.select("doc_id", "text", *keep), "doc_id")
+    return scratch.save(once.select("doc_id", token_count(F.col("text"), folder, vocabulary).alias("n_tokens"), *keep))
 
 
 def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> np.ndarray:

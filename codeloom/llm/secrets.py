@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.tokens import TOKENIZER_DIR, VOCABULARY, encoder
+from codeloom.llm.tokens import TOKENIZER_DIR, VOCABULARY, encoder, ship
 
 #: A string with at most so many characters per subword reads as unnatural.
 UNNATURAL = 2.4
@@ -238,6 +238,7 @@ def credentials(nodes: DataFrame, folder: str = TOKENIZER_DIR, vocabulary: str =
                     rows.append((i, code.count("\n", 0, a) + 1, a, z - a))
             yield pd.DataFrame(rows, columns=["node_id", "line_no", "start", "length"]).astype("int64")
 
+    ship(nodes.sparkSession, folder, vocabulary)
     texts = nodes.where(F.col("type").isin(*types) & (F.col("id").isNotNull()) & (F.length("code_content") > 0)).select("id", "code_content")
     return texts.mapInPandas(scan, "node_id long, line_no long, start long, length long").distinct()
 
@@ -254,5 +255,6 @@ def redacted(nodes: DataFrame, folder: str = TOKENIZER_DIR, vocabulary: str = VO
                     rows.append((i, len(spans), redact(code, spans)))
             yield pd.DataFrame(rows, columns=["node_id", "n_values", "code_content"]).astype({"node_id": "int64", "n_values": "int64"})
 
+    ship(nodes.sparkSession, folder, vocabulary)
     texts = nodes.where(F.col("id").isNotNull() & (F.length("code_content") > 0)).select("id", "code_content")
     return texts.mapInPandas(scan, "node_id long, n_values long, code_content string").dropDuplicates(["node_id"])

@@ -1,7 +1,8 @@
 """Public tokenizer vocabularies, loaded once per Python worker.
 
 The folder of the vocabulary files is a parameter (``CODELOOM_TOKENIZERS`` or the
-argument); no vocabulary is part of this repository and none is trained.
+argument); no vocabulary is part of this repository and none is trained. The driver
+ships the file with the job, so workers need no such folder of their own.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_DIR = os.environ.get("CODELOOM_TOKENIZERS", "/opt/tokenizers")
@@ -26,12 +28,19 @@ PIECE = 200_000
 _loaded: dict[str, object] = {}
 
 
+def ship(spark: SparkSession | None, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> None:
+    """Sends the vocabulary file to all workers, once a session; a file that the driver does not have must be in the folder on every worker."""
+    path = os.path.join(folder, name)
+    if spark is not None and os.path.exists(path) and not any(f.rsplit("/", 1)[-1] == name for f in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(path)
+
+
 def encoder(folder: str = TOKENIZER_DIR, name: str = VOCABULARY):
     key = f"{folder}/{name}"
     if key not in _loaded:
         import tiktoken
 
-        with open(key, "rb") as f:
+        with open(key if os.path.exists(key) else SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _loaded[key] = tiktoken.Encoding(name, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
     return _loaded[key]
@@ -58,6 +67,7 @@ def count_tokens(text: str | None, enc) -> int:
 
 def token_count(text: Column, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> Column:
     """Arrow-batched token counts of a text column."""
+    ship(SparkSession.getActiveSession(), folder, name)
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1,12 +1,14 @@
 """Credentials embedded in source code: find and redact them in place.
 
-A value is taken where the context says credential (a key such as ``db_password``,
+Candidates stand where the context names a credential (a key such as ``db_password``,
 an authorization header, the user part of a URL, a connection string, a login call, a
-private key block) or where its form does (issuer prefixes). How natural a value
+private key block) or where their form does (issuer prefixes). How natural a candidate
 reads is measured as characters per subword of a public tokenizer: words and
-identifiers reach 3 and more, random strings stay near 2. Weak contexts need an
-unnatural value, strong ones only one that is no placeholder. Redaction replaces
-the value's characters one by one, so every offset and line stays where it was.
+identifiers reach 3 and more, random strings stay near 2. The context sets how natural a
+value may be: below a name that only hints (``key``, ``token``, ``auth``) it must be unnatural, more so where it is
+made of letters alone; below a name of something that is issued (``api_key``, ``access_token``) it must not read like
+words; only passwords, which people choose, may. Redaction replaces the value's characters
+one by one with a letter that no quoting, settings format or shell gives a meaning, so every offset and line stays where it was.
 """
 
 from __future__ import annotations
@@ -20,22 +22,19 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.tokens import TOKENIZER_DIR, VOCABULARY, encoder, ship
 
-#: A string with at most so many characters per subword reads as unnatural.
-UNNATURAL = 2.4
+#: A string with at most so many characters per subword reads as unnatural, and with more than so many like words. Strings of letters and joining
+#: marks alone, as identifiers are, have bounds of their own.
+UNNATURAL, UNNATURAL_LETTERS, WORDS, WORDS_LETTERS = 2.4, 1.9, 3.4, 2.2
 
+_CHOSEN = r"pass(?:word|wd|phrase|code|wort)?|pwd|pw|kennwort|contrase(?:n|ñ)a|senha|mot_?de_?passe|wachtwoord|has[lł]o|parola"
 _STRONG = (
-    r"pass(?:word|wd|phrase|code|wort)?|pwd|pw|kennwort|contrase(?:n|ñ)a|senha|mot_?de_?passe|wachtwoord|has[lł]o|parola|"
-    r"secret|api_?key|app_?key|credentials?|"
+    rf"{_CHOSEN}|secret|api_?key|app_?key|credentials?|"
     r"(?:secret|access|signing|encryption|private|auth|service|master|license|storage|account|session|client|hmac|jwt|deploy)_?key|"
     r"(?:access|auth|session|service|bot|refresh|bearer|deploy|personal|client|push|login|oauth|vault|webhook|csrf|jwt)_?token"
 )
 _WEAK = r"token|key|auth|authorization|webhook|cookie|sid|signature|cred"
 #: A quote after a separator; what stands before it on the line names the value.
 _QUOTED = re.compile(r"[=:>(,][ \t]*(?:[$@rbuf]|new String\()?([\"'`])")
-_BEFORE = (
-    re.compile(r"([\w.\-ñł]+)[\"'`]?\]?\)?[ \t]*(?::=|=>|=|:)$"),
-    re.compile(r"([\w.\-ñł]+)\s*:\s*[A-Za-z&*][\w<>\[\], &*'|?]*?[ \t]*=$"),
-)
 _LINE = re.compile(r"(?m)^[ \t]*(?:#[ \t]*|//[ \t]*|export[ \t]+|-[ \t]+|set[ \t]+|ENV[ \t]+)?([\w.\-ñł]+)(?::[ \t]+|=)(?![=\"'`])([^\s\"'`]+)[ \t\r]*$")
 _XML = re.compile(r"""(?i)<\w+\s+(?:key|name|id)\s*=\s*(["'])([^"'\n]*)\1\s+value\s*=\s*(["'])""")
 _TAG = re.compile(rf"(?i)<((?:\w+[_.-])?(?:{_STRONG}))>([^<\n]+)</")
@@ -83,16 +82,57 @@ def chars_per_subword(value: str, enc) -> float:
     return len(value) / max(1, len(enc.encode_ordinary(value)))
 
 
-def _usable(v: str, strong: bool, enc) -> bool:
+def _usable(v: str, context: int, enc) -> bool:
+    """Whether a value is a credential in a context: 1 hinting, 2 something issued, 3 something people choose."""
     if placeholder(v) or len(v) < 3 or _PATH.match(v):
         return False
     if re.match(r"(?i)[a-z][a-z0-9+.\-]*://|data:", v):
         return False
+    measure = chars_per_subword(v, enc)
     if re.search(r"\s", v):  # a sentence or label; a password with a blank still mixes classes
-        return strong and len(v) < 40 and bool(re.search(r"\d", v)) and bool(re.search(r"[^\w\s.,]", v)) and chars_per_subword(v, enc) < UNNATURAL
-    if strong:
+        return context > 1 and len(v) < 40 and bool(re.search(r"\d", v)) and bool(re.search(r"[^\w\s.,]", v)) and measure < UNNATURAL
+    if context == 3:
         return True
-    return len(v) >= 10 and not _DIGEST.match(v) and bool(re.search(r"\d", v)) and chars_per_subword(v, enc) <= UNNATURAL
+    letters = re.fullmatch(r"[^\W\d]+(?:[-.:][^\W\d]+)*", v) is not None
+    if context == 2:
+        return measure <= (WORDS_LETTERS if letters else WORDS)
+    return len(v) >= 8 and not _DIGEST.match(v) and measure <= (UNNATURAL_LETTERS if letters else UNNATURAL)
+
+
+def _context(key: str) -> int:
+    """How surely a name (in snake case) is that of a credential: 3 chosen by people, 2 issued, 1 a hint, 0 none."""
+    return 3 if _CHOSEN_KEY.search(key) else 2 if _STRONG_KEY.search(key) else 1 if _WEAK_KEY.search(key) else 0
+
+
+_KEY_END = re.compile(r"[\w.\-ñł]")
+_TYPE = re.compile(r"\s*[A-Za-z&*][\w<>\[\], &*'|?]*\s*")
+
+
+def _names(code: str, at: int, end: int) -> list[str]:
+    """The names in front of a separator that ends at ``end``: ``name =``, ``"name":``, ``name: Type =``; read back to the line's start where needed."""
+    cut = end
+    for mark in (":=", "=>", "=", ":"):
+        if code.endswith(mark, at, end):
+            cut = end - len(mark)
+            break
+    else:
+        return []
+    out = []
+    for stop in (cut, code.rfind(":", at, cut) if code[cut:end] == "=" else -1):
+        if stop < at or (stop != cut and not _TYPE.fullmatch(code, stop + 1, cut)):
+            continue
+        j = stop
+        while j > at and code[j - 1] in " \t":
+            j -= 1
+        for closing in (")", "]", "\"'`"):
+            if j > at and code[j - 1] in closing:
+                j -= 1
+        k = j
+        while k > at and _KEY_END.match(code, k - 1):
+            k -= 1
+        if k < j:
+            out.append(_snake(code[k:j]))
+    return out
 
 
 def find_credentials(code: str | None, enc) -> list[tuple[int, int]]:
@@ -133,8 +173,7 @@ def find_credentials(code: str | None, enc) -> list[tuple[int, int]]:
         v, kind = m.group(2), m.group(1).lower()
         if placeholder(v):
             continue
-        ahead = code[max(0, m.start() - 60) : m.start()].rsplit("\n", 1)[-1]
-        named = re.search(r"(?i)auth|x-api|header|cookie", ahead) is not None
+        named = re.compile(r"(?i)auth|x-api|header|cookie").search(code, code.rfind("\n", 0, m.start()) + 1, m.start()) is not None
         if kind == "basic":
             try:
                 import base64
@@ -159,21 +198,17 @@ def find_credentials(code: str | None, enc) -> list[tuple[int, int]]:
     for m in _XML.finditer(code) if "value" in code and "<" in code else ():
         key = m.group(2)
         v = _LITERAL.match(code, m.end() - 1)
-        if v and re.search(rf"(?i)(?:^|[_.\-]|(?<=[a-z])(?=[A-Z]))(?:{_STRONG})$", _snake(key)) and _usable(v.group(2), True, enc):
+        if v and (context := _context(_snake(key))) > 1 and _usable(v.group(2), context, enc):
             add(*v.span(2))
     for m in _TAG.finditer(code) if "</" in code else ():
-        if _usable(m.group(2), True, enc):
+        if _usable(m.group(2), max(2, _context(_snake(m.group(1)))), enc):
             add(*m.span(2))
     for m in _QUOTED.finditer(code):
         if code[m.start()] in ">(," and code[m.start() - 1 : m.start() + 1] != "=>":
             continue
         line_at = code.rfind("\n", 0, m.start()) + 1
-        before, strong, weak = code[max(line_at, m.start() - 100) : m.start() + 1], False, False
-        for form in _BEFORE:
-            if named := form.search(before):
-                key = _snake(named.group(1))
-                strong, weak = strong or bool(_STRONG_KEY.search(key)), weak or bool(_WEAK_KEY.search(key))
-        if not strong and not weak:
+        context = max(map(_context, _names(code, line_at, m.start() + 1)), default=0)
+        if not context:
             continue
         v = _LITERAL.match(code, m.end() - 1)
         if not v:
@@ -187,12 +222,12 @@ def find_credentials(code: str | None, enc) -> list[tuple[int, int]]:
             continue  # joined with something computed
         if re.match(r"(?i)(bearer|token|basic)\s", value):
             continue  # a header: taken above where its value is usable
-        if _usable(value, strong, enc):
+        if _usable(value, context, enc):
             add(*span)
     for m in _LINE.finditer(code):
         value, key = m.group(2).rstrip(",;"), _snake(m.group(1))
-        strong = bool(_STRONG_KEY.search(key))
-        if (strong or _WEAK_KEY.search(key)) and _usable(value, strong, enc) and not re.match(r"[A-Za-z_][\w.]*[(\[]|[a-z_]\w*(?:\.\w+)+$", value):
+        context = _context(key)
+        if context and _usable(value, context, enc) and not re.match(r"[A-Za-z_][\w.]*[(\[]|[a-z_]\w*(?:\.\w+)+$", value):
             add(m.start(2), m.start(2) + len(value))
     for run in _RUN.finditer(code):
         m = _ISSUED.match(code, run.start())
@@ -201,6 +236,7 @@ def find_credentials(code: str | None, enc) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+_CHOSEN_KEY = re.compile(rf"(?:^|[_.\-])(?:{_CHOSEN})\d*$")
 _STRONG_KEY = re.compile(rf"(?:^|[_.\-])(?:{_STRONG})\d*$")
 _WEAK_KEY = re.compile(rf"(?:^|[_.\-])(?:{_WEAK})\d*$")
 _NAMED = re.compile(r"(?://|#|/\*|--)[^\n]*(?:pass|pwd|kennwort|contrase)")
@@ -210,22 +246,33 @@ def _snake(key: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", key).lower()
 
 
-def redact(code: str | None, spans: list[tuple[int, int]], mark: str = "*") -> str | None:
-    """The text with the characters of the values replaced one by one; line ends inside a value stay."""
+_KEY_TEXT = re.compile(r"\\.|(?<![\w+/=\-])[rbufRBUF]{1,2}(?=[\"'`])|[\w+/=\-]*[\w=][\w+/=\-]*")
+
+
+def redact(code: str | None, spans: list[tuple[int, int]], mark: str = "x") -> str | None:
+    """The text with the characters of the values replaced one by one.
+
+    The mark is a letter: it is plain text between quotes, in a URL, in a shell and as a bare value of a settings file, where other marks mean
+    something. A value over several lines (a key block) keeps its line ends, indentation, quotes, escapes, joining and comment marks.
+    """
     if not code or not spans:
         return code
     out, at = [], 0
     for a, b in spans:
         value = code[a:b]
-        out += [code[at:a], re.sub(r"[^\r\n]", mark, value)]
+        if "\n" in value or "\r" in value:
+            value = _KEY_TEXT.sub(lambda m: m.group() if m.group()[0] == "\\" or code[a + m.end() : a + m.end() + 1] in ("'", '"', "`") and len(m.group()) < 3 and m.start() > 0 and m.group().isalpha() else mark * len(m.group()), value)
+        else:
+            value = mark * len(value)
+        out += [code[at:a], value]
         at = b
     return "".join(out) + code[at:]
 
 
-def credentials(nodes: DataFrame, folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY, types: tuple[str, ...] = ("function", "method", "constant")) -> DataFrame:
+def credentials(nodes: DataFrame, folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """(node_id, line_no, start, length): every credential value by its line (from 1) and character offset.
 
-    Reads whole texts. Null, empty and blank code gives no rows; an id that comes
+    Reads the whole texts of nodes of every type. Null, empty and blank code gives no rows; an id that comes
     several times with the same code gives its rows once. Extra columns are ignored.
     """
 
@@ -239,12 +286,12 @@ def credentials(nodes: DataFrame, folder: str = TOKENIZER_DIR, vocabulary: str =
             yield pd.DataFrame(rows, columns=["node_id", "line_no", "start", "length"]).astype("int64")
 
     ship(nodes.sparkSession, folder, vocabulary)
-    texts = nodes.where(F.col("type").isin(*types) & (F.col("id").isNotNull()) & (F.length("code_content") > 0)).select("id", "code_content")
+    texts = nodes.where(F.col("id").isNotNull() & (F.length("code_content") > 0)).select("id", "code_content")
     return texts.mapInPandas(scan, "node_id long, line_no long, start long, length long").distinct()
 
 
 def redacted(nodes: DataFrame, folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(node_id, n_values, code_content) of the nodes with credentials, the values replaced by marks of the same length."""
+    """(node_id, n_values, code_content) of the nodes with credentials, the values replaced by marks of the same length; of several texts of one id the least counts."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(folder, vocabulary)
@@ -257,4 +304,5 @@ def redacted(nodes: DataFrame, folder: str = TOKENIZER_DIR, vocabulary: str = VO
 
     ship(nodes.sparkSession, folder, vocabulary)
     texts = nodes.where(F.col("id").isNotNull() & (F.length("code_content") > 0)).select("id", "code_content")
-    return texts.mapInPandas(scan, "node_id long, n_values long, code_content string").dropDuplicates(["node_id"])
+    found = texts.mapInPandas(scan, "node_id long, n_values long, code_content string")
+    return found.groupBy("node_id").agg(F.min(F.struct("n_values", "code_content")).alias("_v")).select("node_id", "_v.*")

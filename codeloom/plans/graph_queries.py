@@ -168,7 +168,7 @@ def dirty_nodes(spark, d):
     return L.dirty_nodes(g, _late(g))
 
 
-@R.query("missing_context", sql("select id, name, path from loc where context_string is null and path <> '<external>' order by id limit 10000"))
+@R.query("missing_context", sql("select id, name, path from loc where context_string is null and path <> '<external>'"))
 def missing_context(spark, d):
     return L.missing_context(graph(spark, d))
 
@@ -361,12 +361,13 @@ def show_node(spark, d):
 # --- traversal ---------------------------------------------------------------------
 
 
-def _walk(way: str, depth: int, name: str) -> str:
+def _walk(way: str, depth: int, name: str, listing: bool = True) -> str:
+    """The walk from a name; a ``listing`` keeps its first 200 rows, counts are taken over all."""
     a, b = ("target_id", "source_id") if way == "callers" else ("source_id", "target_id")
     return f"""{way}_w(node, depth) as (select id, 0 from loc where name = '{name}' union select e.{b}, w.depth + 1 from {way}_w w join e on e.{a} = w.node and e.relation = 'calls' where w.depth < {depth}),
     {way}_m as (select node, min(depth) depth from {way}_w group by 1),
     {way}_p as (select c.node, c.depth, min(p.node) parent from {way}_m c left join (select p.node, p.depth, e.{b} as child from {way}_m p join e on e.{a} = p.node and e.relation = 'calls') p on p.child = c.node and p.depth = c.depth - 1 group by 1, 2),
-    {way}_g as (select node node_id, name, type, path, depth, '{way}' as direction, parent parent_id from {way}_p join loc on loc.id = node order by depth, node limit 200)"""
+    {way}_g as (select node node_id, name, type, path, depth, '{way}' as direction, parent parent_id from {way}_p join loc on loc.id = node{' order by depth, node limit 200' if listing else ''})"""
 
 
 @R.query("call_graph_callers", sql(f"{_walk('callers', 3, 'update')} select * from callers_g", True))
@@ -385,22 +386,24 @@ def call_graph_both(spark, d):
 
 
 @R.query("call_graph_rollup", sql(
-    f"{_walk('callers', 2, 'handle')} select path, direction, count(*) n, array_to_string(list(name order by depth, node_id)[1:10], ',') as names, min(depth) min_depth, max(depth) max_depth from callers_g group by 1, 2", True
+    f"{_walk('callers', 2, 'handle', False)} select g.path, direction, count(*) n, array_to_string(list(g.name order by depth, node_id)[1:10], ',') as names, min(depth) min_depth, max(depth) max_depth "
+    f"from callers_g g join n on n.id = node_id where depth > 0 and not {_test('g.name', 'g.path', 'n.is_test')} group by 1, 2", True
 ))
 def call_graph_rollup(spark, d):
     return T.rollup(T.callers_and_callees(graph(spark, d), "handle", "callers", 2))
 
 
 @R.query("call_graph_tool", sql(
-    f"{_walk('callers', 3, 'update')}, {_walk('callees', 3, 'update')}, u as (select * from callers_g union all select * from callees_g) "
-    f"select u.name, u.path, depth, direction, min(node_id) node_id from u join n on n.id = node_id where depth > 0 and not {_test('u.name', 'u.path', 'n.is_test')} group by 1, 2, 3, 4", True
+    f"{_walk('callers', 3, 'update', False)}, {_walk('callees', 3, 'update', False)}, u as (select * from callers_g union all select * from callees_g), "
+    f"k as (select u.name, u.path, depth, direction, min(node_id) node_id from u join n on n.id = node_id where depth > 0 and not {_test('u.name', 'u.path', 'n.is_test')} group by 1, 2, 3, 4) "
+    "select * from k qualify row_number() over (partition by direction order by depth, node_id) <= 200", True
 ))
 def call_graph_tool(spark, d):
     return T.call_graph_tool(graph(spark, d), "update", "both", 3)
 
 
 @R.query("impact", sql(
-    f"""{_walk('callers', 3, 'update')}, rt as (select source_id, arg_min(metadata, id) route from e where relation = 'routes_to' group by 1),
+    f"""{_walk('callers', 3, 'update', False)}, rt as (select source_id, arg_min(metadata, id) route from e where relation = 'routes_to' group by 1),
     x as (select g.*, rt.route, {_test('g.name', 'g.path', 'n.is_test')} as t from callers_g g left join n on n.id = g.node_id left join rt on rt.source_id = g.node_id),
     s as (select sum(case when depth > 0 and not t then 1 else 0 end) prod_callers, sum(case when depth > 0 and t then 1 else 0 end) test_callers, sum(case when depth = 1 and not t then 1 else 0 end) direct,
       sum(case when depth > 1 and not t then 1 else 0 end) transitive, count(distinct case when depth > 0 and not t then path end) files, sum(case when depth > 0 and route is not null then 1 else 0 end) routes, min(case when depth = 0 then type end) kind from x)
@@ -454,7 +457,7 @@ def _first_hashes(spark, d):
 
 @R.query("snapshot_diff", sql(
     "o as (select path, content_hash h from files where path is not null qualify row_number() over (partition by path order by indexed_at, content_hash) = 1), "
-    "k as (select path, h from o where length(path) % 7 <> 0), w as (select path, content_hash h from f where length(path) % 11 <> 0) "
+    "k as (select path, h from o), w as (select path, content_hash h from f) "
     "select coalesce(k.path, w.path) path, case when k.path is null then 'new' when w.path is null then 'deleted' else 'changed' end as status from k full join w on k.path = w.path where k.path is null or w.path is null or k.h is distinct from w.h"
 ))
 def snapshot_diff(spark, d):

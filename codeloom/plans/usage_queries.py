@@ -53,7 +53,7 @@ def latency(spark, d):
     return U.latency(_sessions(spark, d).select(F.explode("tools").alias("tool", "s")).select(F.col("s.ms").alias("ms")))
 
 
-@R.query("query_classify", r"""with q as (select text q from documents where text is not null and length(text) < 200),
+@R.query("query_classify", r"""with q as (select text q from documents where text is not null),
   s as (select trim(regexp_replace(regexp_replace(trim(q, ' '), '^"(.*)"$', '\1'), '^''(.*)''$', '\1'), ' ') s from q),
   w as (select s, string_split_regex(s, '\s+') ws, regexp_matches(s, '[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]') cjk from s),
   k as (select *, len(list_filter(ws, lambda t: (regexp_matches(t, '^[A-Za-z_][A-Za-z0-9_]*$') and (contains(t, '_') or regexp_matches(t, '[a-z][A-Z]|[A-Z]{2,}|[0-9]'))) or (regexp_matches(t, '^[A-Za-z_][A-Za-z0-9_:./\-]*$') and regexp_matches(t, '[:./\-]')))) / len(ws) share,

@@ -195,7 +195,25 @@ def hybrid_rerank(spark, d):
     return Q.rerank(_fused(spark, d, 40).join(n, F.col("id") == F.col("_i")), QUERY, 1.0, 20).select("id", "relevance")
 
 
-@R.query("hybrid_search")
+_HYBRID = f"""{_bm25('n', 'id', Q.COLUMN_WEIGHTS, _FORMS)}, {_ALL},
+k as (select * from sc where id not in (select id from n where is_test)), a as (select least(count(*), 40) k from k where matched = 3),
+th as (select id, score, (select k from a) < 4 as fb from k where matched = 3 or (select k from a) < 4 order by round(score, 9) desc, id limit 40),
+vh as (select vec_id + 1000 id, 1 - list_distance(v, (select v from qq)) score from vv order by list_distance(v, (select v from qq)), vec_id limit 40),
+li as (select id, 1.0 w, row_number() over (order by score desc, id) - 1 rk, score as raw, max(score) over () mx from th
+  union all select id, 1.2, row_number() over (order by score desc, id) - 1, score, max(score) over () from vh),
+fu as (select id, sum(w / (30 + rk + 1) + 0.5 / (31 * 32) * w * case when mx > 0 then greatest(raw, 0) / mx else 0 end) score from li group by 1 order by score desc, id limit 40),
+nn as (select (select count(*) from th) t, (select count(*) from vh) v, (select count(*) from th join vh using (id)) b, (select coalesce(bool_or(fb), false) from th) o),
+cf as (select case when t = 0 and v > 0 then 0.35 else 1.0 end * case when o then 0.6 else 1.0 end
+  * case when (case when t > 0 then t else v end) / 40.0 < 0.1 then 0.5 when (case when t > 0 then t else v end) / 40.0 < 0.25 then 0.65 when (case when t > 0 then t else v end) / 40.0 < 0.5 then 0.8 else 1.0 end
+  * case when t > 0 and v > 0 and b / least(t, v) < 0.2 then 0.75 else 1.0 end as c from nn),
+hr as (select fu.id, fu.score, name, type, path, start_line, end_line, lang, end_line - start_line + 1 ln, max(fu.score) over () ms,
+  least(2.0, 1 + 0.3 * (cast(contains(lower(name), 'index') as int) + cast(contains(lower(name), 'node') as int) + cast(contains(lower(name), 'parse') as int))) boost
+  from fu join loc on loc.id = fu.id where name <> '<module>' and path <> '<external>' and not {_test('name', 'path', 'is_test')}),
+re as (select *, round(score / ms * 0.85 * (select c from cf) * boost * case when ln > 100 then 1 / (1 + 0.4 * ln(ln / 100.0)) else 1 end * case when coalesce(lang, '') = 'markdown' then 0.4 else 1 end * 100) / 100 as relevance from hr)
+select id, name, type, path, start_line, end_line, relevance, cast((select c from cf) as double) as confidence from re order by relevance desc, score desc, id limit 10"""
+
+
+@R.query("hybrid_search", sql(_HYBRID))
 def hybrid_search(spark, d):
     g, _ = _with_vectors(spark, d)
     return Q.hybrid_search(g, QUERY, _query_vector(_vectors(spark, d)), 10)

@@ -53,9 +53,11 @@ def nearest_targets(wanted: DataFrame, symbols: DataFrame, scratch: Scratch) ->
 
     # the deepest directory
     kinds = F.explode(F.when(F.col("main"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))
-    placed = s.select("id", "name", "family", kinds.alias("main"), F.explode(_above(F.col("path"))).alias("a")).select("id", "name", "family", "main", "a.*")
     on = lambda df: df.select([F.col(c).alias(f"_{c}") for c in df.columns])
     match = lambda cs: reduce(and_, [F.col(c) == F.col(f"_{c}") for c in cs])
+    some = s.select("id", "name", "path", "family", kinds.alias("main"))
+    some = some.join(on(q.select("name", "family", "main").distinct()), match(["name", "family", "main"]), "left_semi")  # what is asked for at all
+    placed = scratch.save(some.select("id", "name", "family", "main", F.explode(_above(F.col("path"))).alias("a")).select("id", "name", "family", "main", "a.*"))
     dirs = placed.select("name", "family", "main", "dir").distinct()
     asked = q.select(*key, "family", "main", F.explode(_above(F.col("path"))).alias("a")).select(*key, "family", "main", "a.*")
     deep = asked.join(on(dirs), match(["name", "family", "main", "dir"])).groupBy(*key).agg(F.max(F.struct("level", "dir", "next", "main")).alias("m")).select(*key, "m.dir", "m.next", "m.main")

@@ -131,3 +131,18 @@ def test_file_events(spark):
     events = spark.createDataFrame([(2, "b", "h2", 2, "go", 2, "data"), (2, "b", "h3", 3, "go", 3, "remove"), (3, "c", "h", 1, "go", 2, "create"), (1, "a", "x", 9, "go", 9, "access")], "file_id long, path string, content_hash string, last_modified long, language string, indexed_at long, kind string")
     assert {(r["path"], r["content_hash"]) for r in incremental.latest(files, events).collect()} == {("a", "h1"), ("c", "h")}
     assert isinstance(Graph(files, files, files), Graph)
+
+
+def test_ignore_files(spark, tmp_path):
+    from codeloom.sources import scan
+
+    for path in ("a.py", "build/x.py", "src/build/y.py", "src/gen_a.py", "src/keep/gen_b.py", "docs/z.py", "src/docs/z.py", "logs.py/q.py", "src/__init__.py", "src/_in/b.py", "build/_x.py", ".hid/a.py"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text("# comment\nbuild/\n/docs\n\nsrc/**/gen_*\n")
+    (tmp_path / "src" / "keep").mkdir(parents=True, exist_ok=True)
+    (tmp_path / "src" / "keep" / ".gitignore").write_text("!gen_b.py\n")
+    got = {r["path"] for r in scan.scan_directory(spark, str(tmp_path)).select("path").collect()}
+    assert got == {"a.py", "src/keep/gen_b.py", "src/docs/z.py", "logs.py/q.py", "src/__init__.py", "src/_in/b.py"}
+    assert len(scan.scan_directory(spark, str(tmp_path), gitignore=False).select("path").collect()) == 11
+    assert scan.ignore_rules(None) == [] == scan.ignore_rules("")

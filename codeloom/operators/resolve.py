@@ -14,64 +14,82 @@ from codeloom.graph import Graph
 from codeloom.storage import Scratch
 
 
-def _above(path: Column) -> Column:
-    """The directories above a path from none downwards, as structs of level, directory and the bytes (in hex) of the component that follows."""
-    parts = F.split(path, "/")
-    return F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        lambda k: F.named_struct(F.lit("level"), k, F.lit("dir"), F.array_join(F.slice(parts, 1, k), "/"), F.lit("next"), F.hex(F.encode(F.element_at(parts, k + 1), "UTF-8"))),
-    )
+def _key(*parts: Column) -> list[Column]:
+    """128 bits of some columns, as two long columns: what strings are joined by."""
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)]
+
+
+def _directory(path: Column, level: Column) -> Column:
+    return F.array_join(F.slice(F.split(path, "/"), F.lit(1), level), "/")
+
+
+def _next(path: Column, level: Column) -> Column:
+    """The bytes, in hex, of the component that follows the directory of a level."""
+    return F.hex(F.encode(F.element_at(F.split(path, "/"), level + 1), "UTF-8"))
+
+
+def _levels(path: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(F.split(path, "/")) - 1)
+
 
+def _lengths(next_: Column) -> Column:
+    """The lengths in hex digits of all beginnings of whole bytes, the empty one too."""
+    return F.sequence(F.lit(0), F.length(next_), F.lit(2))
 
-def _beginnings(next_: Column) -> Column:
-    """All beginnings of whole bytes of a text in hex, the empty one too."""
-    return F.transform(F.sequence(F.lit(0), (F.length(next_) / 2).cast("int")), lambda k: F.substring(next_, F.lit(1), k * 2))
+
+def query_key(name: Column, path: Column, language: Column) -> list[Column]:
+    return _key(name, path, F.coalesce(F.concat(F.lit("="), language), F.lit("")))
 
 
 def nearest_targets(wanted: DataFrame, symbols: DataFrame, scratch: Scratch) -> DataFrame:
-    """(name, path, language, target_id): for each distinct (name, path, language) of ``wanted`` the symbols of the name and a compatible language that share the longest path prefix in bytes.
+    """(q1, q2, target_id): for each distinct (name, path, language) of ``wanted`` (its ``query_key``) the symbols of the name and a compatible language that share the longest path prefix in bytes.
 
     For callers outside tests those outside tests go first. The prefix is found from the deepest directory that both have, then byte by byte in
-    the component that follows: each step is an equality join with the distinct (name, family, prefix) of the symbols, never with all symbols
+    the component that follows: each step is an equality join of 128-bit keys with the distinct (name, family, prefix) of the symbols, never with all symbols
     of a name. Only what is in the result is joined with symbols.
     """
-    key = ["name", "path", "language"]
     none, all_ = "?", "*"
-    w = scratch.save(wanted.select(*key).where("name is not null and path is not null").distinct())
-    names = w.select(F.col("name").alias("_n")).distinct()
     family = F.coalesce(P.language_family(F.col("language")), F.lit(none))
+    sides = F.when(F.col("language").isNull(), F.array(F.lit(all_))).otherwise(F.array(family, F.lit(none)))
+    on = lambda df: df.select([F.col(c).alias(f"_{c}") for c in df.columns])
+    match = lambda *cs: reduce(and_, [F.col(c) == F.col(f"_{c}") for c in cs])
+    keyed = lambda df, *parts: df.withColumn("k1", _key(*parts)[0]).withColumn("k2", _key(*parts)[1])
+
+    w = wanted.select("name", "path", "language").where("name is not null and path is not null").distinct()
+    names = w.select(F.col("name").alias("_n")).distinct()
     s = symbols.where("path is not null").join(names, F.col("name") == F.col("_n"), "left_semi")
     s = s.select("id", "name", "path", F.explode(F.array(family, F.lit(all_))).alias("family"), (~P.is_test_path(F.col("path"))).alias("main"))
     s = scratch.save(s)
-    sides = F.when(F.col("language").isNull(), F.array(F.lit(all_))).otherwise(F.array(family, F.lit(none)))
 
     # is there a target at all, and one outside tests
     have = s.groupBy(F.col("name").alias("_n"), F.col("family").alias("_f")).agg(F.max("main").alias("_main"))
     q = w.withColumn("family", F.explode(sides)).join(have, (F.col("name") == F.col("_n")) & (F.col("family") == F.col("_f")))
-    q = q.groupBy(*key).agg(F.max("_main").alias("_main")).withColumn("main", F.col("_main") & ~P.is_test_path(F.col("path"))).drop("_main")
-    q = scratch.save(q.withColumn("family", F.explode(sides)))
+    q = q.groupBy("name", "path", "language").agg(F.max("_main").alias("_main")).withColumn("main", F.col("_main") & ~P.is_test_path(F.col("path"))).drop("_main")
+    q1, q2 = query_key(F.col("name"), F.col("path"), F.col("language"))
+    q = scratch.save(q.withColumn("q1", q1).withColumn("q2", q2))
+    asked = q.withColumn("family", F.explode(sides))
 
     # the deepest directory
     kinds = F.explode(F.when(F.col("main"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))
-    on = lambda df: df.select([F.col(c).alias(f"_{c}") for c in df.columns])
-    match = lambda cs: reduce(and_, [F.col(c) == F.col(f"_{c}") for c in cs])
     some = s.select("id", "name", "path", "family", kinds.alias("main"))
-    some = some.join(on(q.select("name", "family", "main").distinct()), match(["name", "family", "main"]), "left_semi")  # what is asked for at all
-    placed = scratch.save(some.select("id", "name", "family", "main", F.explode(_above(F.col("path"))).alias("a")).select("id", "name", "family", "main", "a.*"))
-    dirs = placed.select("name", "family", "main", "dir").distinct()
-    asked = q.select(*key, "family", "main", F.explode(_above(F.col("path"))).alias("a")).select(*key, "family", "main", "a.*")
-    deep = asked.join(on(dirs), match(["name", "family", "main", "dir"])).groupBy(*key).agg(F.max(F.struct("level", "dir", "next", "main")).alias("m")).select(*key, "m.dir", "m.next", "m.main")
-    deep = scratch.save(deep.withColumn("family", F.explode(sides)))
+    some = some.join(on(asked.select("name", "family", "main").distinct()), match("name", "family", "main"), "left_semi")  # what is asked for at all
+    parts = (F.col("name"), F.col("family"), F.col("main"), _directory(F.col("path"), F.col("level")))
+    placed = some.withColumn("level", F.explode(_levels(F.col("path"))))
+    placed = scratch.save(keyed(placed, *parts).select("id", "k1", "k2", _next(F.col("path"), F.col("level")).alias("next")), replaces=s)
+    tried = keyed(asked.withColumn("level", F.explode(_levels(F.col("path")))), *parts).select("q1", "q2", "level", "k1", "k2")
+    level = tried.join(on(placed.select("k1", "k2").distinct()), match("k1", "k2"), "left_semi").groupBy("q1", "q2").agg(F.max("level").alias("level"))
+    deep = asked.join(on(level), match("q1", "q2")).withColumn("level", F.col("_level"))
+    deep = scratch.save(keyed(deep, *parts).select("q1", "q2", "k1", "k2", _next(F.col("path"), F.col("level")).alias("next")))
 
     # the longest beginning of the component that follows it
-    near = placed.join(on(deep.select("name", "family", "main", "dir").distinct()), match(["name", "family", "main", "dir"]), "left_semi")
-    near = scratch.save(near.select("id", "name", "family", "main", "dir", F.explode(_beginnings(F.col("next"))).alias("begin")))
-    begins = near.select("name", "family", "main", "dir", "begin").distinct()
-    tried = deep.select(*key, "family", "main", "dir", F.explode(_beginnings(F.col("next"))).alias("begin"))
-    best = tried.join(on(begins), match(["name", "family", "main", "dir", "begin"])).groupBy(*key).agg(F.max(F.struct(F.length("begin").alias("n"), "begin", "dir", "main")).alias("m"))
-    best = best.select(*key, "m.begin", "m.dir", "m.main").withColumn("family", F.explode(sides))
-    targets = near.select(F.col("id").alias("target_id"), *[F.col(c).alias(f"_{c}") for c in ("name", "family", "main", "dir", "begin")])
-    return best.join(targets, match(["name", "family", "main", "dir", "begin"])).select(*key, "target_id").distinct()
+    begin = (F.col("k1"), F.col("k2"), F.substring(F.col("next"), F.lit(1), F.col("n")))
+    near = placed.join(on(deep.select("k1", "k2").distinct()), match("k1", "k2"), "left_semi").withColumn("n", F.explode(_lengths(F.col("next"))))
+    b1, b2 = _key(*begin)
+    near = scratch.save(near.select("id", b1.alias("b1"), b2.alias("b2")), replaces=placed)
+    tried = deep.withColumn("n", F.explode(_lengths(F.col("next")))).select("q1", "q2", "n", b1.alias("b1"), b2.alias("b2"))
+    longest = tried.join(on(near.select("b1", "b2").distinct()), match("b1", "b2"), "left_semi").groupBy("q1", "q2").agg(F.max("n").alias("n"))
+    best = tried.join(on(longest), match("q1", "q2", "n"), "left_semi").select("q1", "q2", "b1", "b2")
+    return best.join(on(near), match("b1", "b2")).select("q1", "q2", F.col("_id").alias("target_id")).distinct()
 
 
 def resolve(relations: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -91,10 +109,12 @@ def resolve(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     rest = relations.join(done, F.col("rel_id") == F.col("_done"), "left_anti").where(~(call & F.col("target_name").isin(P.NOISE_NAMES)))
     rest = scratch.save(rest)
     near = nearest_targets(rest.select(F.col("target_name").alias("name"), "path", "language"), symbols.select("id", "name", "path", "language"), scratch)
-    near = scratch.save(near.select(F.col("name").alias("_name"), F.col("path").alias("_path"), F.col("language").alias("_lang"), "target_id"))
-    same = (F.col("target_name") == F.col("_name")) & (F.col("path") == F.col("_path")) & F.col("language").eqNullSafe(F.col("_lang"))
+    near = scratch.save(near)
+    q1, q2 = query_key(F.col("target_name"), F.col("path"), F.col("language"))
+    rest = rest.withColumn("_a", q1).withColumn("_b", q2)
+    same = (F.col("_a") == F.col("q1")) & (F.col("_b") == F.col("q2"))
     far = rest.join(near, same).withColumn("tier", F.lit(2))
-    other = rest.where(~call).join(near.drop("target_id").distinct(), same, "left_anti")
+    other = rest.where(~call).join(near.select("q1", "q2").distinct(), same, "left_anti")
     any_ = other.join(s.drop("_path"), F.col("target_name") == F.col("_name")).withColumn("tier", F.lit(3))
     columns = ["rel_id", "source_id", "target_id", "relation", "tier"]
     rows = local.select(*columns).unionByName(far.select(*columns)).unionByName(any_.select(*columns))

@@ -42,7 +42,7 @@ def query_key(name: Column, path: Column, language: Column) -> list[Column]:
 
 
 def nearest_targets(wanted: DataFrame, symbols: DataFrame, scratch: Scratch) -> DataFrame:
-    """(q1, q2, target_id): for each distinct (name, path, language) of ``wanted`` (its ``query_key``) the symbols of the name and a compatible language that share the longest path prefix in bytes.
+    """(q1, q2, target_id), written: for each distinct (name, path, language) of ``wanted`` (its ``query_key``) the symbols of the name and a compatible language that share the longest path prefix in bytes.
 
     For callers outside tests those outside tests go first. The prefix is found from the deepest directory that both have, then byte by byte in
     the component that follows: each step is an equality join of 128-bit keys with the distinct (name, family, prefix) of the symbols, never with all symbols
@@ -89,7 +89,10 @@ def nearest_targets(wanted: DataFrame, symbols: DataFrame, scratch: Scratch) ->
     tried = deep.withColumn("n", F.explode(_lengths(F.col("next")))).select("q1", "q2", "n", b1.alias("b1"), b2.alias("b2"))
     longest = tried.join(on(near.select("b1", "b2").distinct()), match("b1", "b2"), "left_semi").groupBy("q1", "q2").agg(F.max("n").alias("n"))
     best = tried.join(on(longest), match("q1", "q2", "n"), "left_semi").select("q1", "q2", "b1", "b2")
-    return best.join(on(near), match("b1", "b2")).select("q1", "q2", F.col("_id").alias("target_id")).distinct()
+    out = scratch.save(best.join(on(near), match("b1", "b2")).select("q1", "q2", F.col("_id").alias("target_id")), replaces=near)
+    for table in (deep, q):
+        scratch.drop(table)
+    return out
 
 
 def resolve(relations: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -109,7 +112,6 @@ def resolve(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     rest = relations.join(done, F.col("rel_id") == F.col("_done"), "left_anti").where(~(call & F.col("target_name").isin(P.NOISE_NAMES)))
     rest = scratch.save(rest)
     near = nearest_targets(rest.select(F.col("target_name").alias("name"), "path", "language"), symbols.select("id", "name", "path", "language"), scratch)
-    near = scratch.save(near)
     q1, q2 = query_key(F.col("target_name"), F.col("path"), F.col("language"))
     rest = rest.withColumn("_a", q1).withColumn("_b", q2)
     same = (F.col("_a") == F.col("q1")) & (F.col("_b") == F.col("q2"))

@@ -98,15 +98,17 @@ def nearest_targets(wanted: DataFrame, symbols: DataFrame, scratch: Scratch) ->
 def resolve(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     """Targets of parsed relations by name, in tiers.
 
-    ``relations``: rel_id, source_id, path, language, target_name, relation; ``symbols``: id, name, path, language. Tier 1 is a symbol of the same
+    ``relations``: rel_id, source_id, path, language, target_name, relation; ``symbols``: id, name, path, language, an id with one name and path. Tier 1 is a symbol of the same
     file, tier 2 one of a compatible language (calls of noise names stop before it), tier 3 any symbol, for relations other than calls.
     Of several tier 2 targets those outside tests are preferred for callers outside tests, then all that share the longest path prefix with
     the caller (``nearest_targets``). Self edges are only kept for routes. Noise names are filtered before the join, so they cannot make hot keys.
     """
     scratch = Scratch(relations.sparkSession)
+    # repeated rows go before they are multiplied: what follows gives each pair of a relation and a target once
+    symbols = scratch.save(symbols.select("id", "name", "path", "language").distinct())
     s = symbols.select(F.col("id").alias("target_id"), F.col("name").alias("_name"), F.col("path").alias("_path"))
     call = F.col("relation") == S.CALLS
-    relations = scratch.save(relations.select("rel_id", "source_id", "path", "language", "target_name", "relation"))
+    relations = scratch.save(relations.select("rel_id", "source_id", "path", "language", "target_name", "relation").distinct())
     local = relations.join(s, (F.col("target_name") == F.col("_name")) & (F.col("path") == F.col("_path"))).withColumn("tier", F.lit(1))
     done = local.select(F.col("rel_id").alias("_done")).distinct()
     rest = relations.join(done, F.col("rel_id") == F.col("_done"), "left_anti").where(~(call & F.col("target_name").isin(P.NOISE_NAMES)))
@@ -120,7 +122,7 @@ def resolve(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     any_ = other.join(s.drop("_path"), F.col("target_name") == F.col("_name")).withColumn("tier", F.lit(3))
     columns = ["rel_id", "source_id", "target_id", "relation", "tier"]
     rows = local.select(*columns).unionByName(far.select(*columns)).unionByName(any_.select(*columns))
-    return rows.where((F.col("source_id") != F.col("target_id")) | (F.col("relation") == S.ROUTES_TO)).distinct()
+    return rows.where((F.col("source_id") != F.col("target_id")) | (F.col("relation") == S.ROUTES_TO))
 
 
 def module_suffixes(files: DataFrame) -> DataFrame:

@@ -7,11 +7,14 @@ and menu lines are clearly more than half of all. A line is observed as six
 categories: share of function words, share of link text, separators per word, whether
 it closes like a sentence, share of words the page repeats, technical marks. The
 emission and transition tables start from the priors below and are fitted by
-Viterbi training on a bounded hash sample of pages.
+Viterbi training on all pages: texts are read once, and each round labels their
+observations again and sums whole counts. The priors keep their share at any number
+of pages, or rare cells of the tables would go to zero with it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,9 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.storage import Scratch
+
 STATES = ("prose", "link list", "tag list", "menu", "technical")
 FLAGGED = np.array([False, True, True, True, False])
 SIZES = (4, 3, 3, 2, 3, 2)
+#: Observations a line may have.
+KINDS = math.prod(SIZES)
+#: Numbers that a model is fitted from: lines, moves, pages.
+CELLS = len(STATES) * (KINDS + len(STATES)) + 1
 
 #: Prior emission tables: for each feature a row per state.
 _PRIOR = [
@@ -208,34 +217,72 @@ class LineModel:
                 out[i] = path[: sizes[j], j].copy()
         return out
 
-    def fitted(self, pages: list[np.ndarray], rounds: int = 3, weight: float = 500.0) -> "LineModel":
-        """Viterbi training: relabel and recount, the priors weighing as ``weight`` lines a state."""
-        model = self
+    def counts(self, pages: list[np.ndarray]) -> np.ndarray:
+        """Lines of each state and observation, then moves from each state to each, on the most likely paths of the pages; at last the number of pages with lines."""
         k = len(STATES)
-        for _ in range(rounds):
-            counts = [np.exp(LineModel().emission[f]) * weight for f in range(len(SIZES))]
-            moves = np.exp(LineModel().move) * weight
-            for obs, path in zip(pages, model.label_all(pages)):
-                for f in range(len(SIZES)):
-                    np.add.at(counts[f], (path, obs[:, f]), 1)
-                np.add.at(moves, (path[:-1], path[1:]), 1)
-            model = LineModel([np.log(c / c.sum(1, keepdims=True)) for c in counts], np.log(moves / moves.sum(1, keepdims=True)))
-        assert model.move.shape == (k, k)
-        return model
-
-
-def train(documents: DataFrame, pages: int = 2000) -> LineModel:
-    """A model fitted on at most ``pages`` pages, those with the least hash of their id; without pages the priors stay."""
-    # ids first: only the texts of the sample move, and at most ``pages`` ids are broadcast
-    ids = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("_i")).orderBy(F.xxhash64("_i"), "_i").limit(pages)
-    some = documents.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_i"), "left_semi")
+        pages = [p for p in pages if len(p)]
+        if not pages:
+            return np.zeros(CELLS, dtype=np.int64)
+        path, obs = np.concatenate(self.label_all(pages)), np.concatenate(pages)
+        lines = np.bincount(path * KINDS + np.ravel_multi_index(tuple(obs.T), SIZES), minlength=k * KINDS)
+        inside = np.ones(len(path) - 1, dtype=bool)
+        inside[np.cumsum([len(p) for p in pages])[:-1] - 1] = False  # from the last line of a page to the first of the next
+        moves = np.bincount((path[:-1] * k + path[1:])[inside], minlength=k * k)
+        return np.concatenate([lines, moves, [len(pages)]])
+
+    @classmethod
+    def of(cls, counts: np.ndarray, weight: float = 500.0, per: int = 2000) -> "LineModel":
+        """The model of such counts, the priors weighing as ``weight`` lines a state for every ``per`` pages, and as much for fewer."""
+        prior, k = cls(), len(STATES)
+        weight *= max(1.0, counts[-1] / per)
+        lines, moves = counts[: k * KINDS].reshape(k, *SIZES), counts[k * KINDS : -1].reshape(k, k)
+        emission = [np.exp(e) * weight + lines.sum(axis=tuple(i for i in range(1, lines.ndim) if i != f + 1)) for f, e in enumerate(prior.emission)]
+        move = np.exp(prior.move) * weight + moves
+        return cls([np.log(c / c.sum(1, keepdims=True)) for c in emission], np.log(move / move.sum(1, keepdims=True)))
+
+
+def observed(documents: DataFrame) -> DataFrame:
+    """(doc_id, obs, sizes) of every page with an id: the categories (8 bits each) and the words (32 bits) of its pieces as bytes."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"obs": [observe(t)[0].astype("int8").tobytes() for t in b["text"]]})
+            seen = [observe(t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "obs": [o.astype("int8").tobytes() for o, _ in seen], "sizes": [n.astype("int32").tobytes() for _, n in seen]})
+
+    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(look, "doc_id long, obs binary, sizes binary")
+
+
+def _pages(obs: pd.Series) -> list[np.ndarray]:
+    flat = np.frombuffer(b"".join(obs), dtype=np.int8).reshape(-1, len(SIZES)).astype(np.int64)
+    return np.split(flat, np.cumsum([len(o) // len(SIZES) for o in obs], dtype=np.int64)[:-1])
+
 
-    got = [np.frombuffer(bytes(r["obs"]), dtype=np.int8).reshape(-1, len(SIZES)).astype(np.int64) for r in some.mapInPandas(look, "obs binary").collect()]
-    return LineModel().fitted([g for g in got if len(g)])
+def _fit(seen: DataFrame, rounds: int = 3) -> LineModel:
+    model = LineModel()
+    for _ in range(rounds):
+
+        def count(batches: Iterator[pd.DataFrame], model: LineModel = model) -> Iterator[pd.DataFrame]:
+            n = sum(model.counts(_pages(b["obs"])) for b in batches)
+            cells = np.flatnonzero(n)
+            if len(cells):
+                yield pd.DataFrame({"cell": cells, "n": n[cells]})
+
+        # whole numbers, so their order does not matter; the driver gets a row a cell at most, 2,186 at any size
+        got = seen.select("obs").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros(CELLS, dtype=np.int64)
+        for r in got:
+            counts[r["cell"]] = r["n"]
+        model = LineModel.of(counts)
+    return model
+
+
+def train(documents: DataFrame) -> LineModel:
+    """A model fitted on all pages that have an id: relabel and recount; without pages the priors stay."""
+    scratch = Scratch(documents.sparkSession)
+    seen = scratch.save(observed(documents))
+    model = _fit(seen)
+    scratch.drop(seen)
+    return model
 
 
 def page_shares(documents: DataFrame, model: LineModel | None = None) -> DataFrame:
@@ -243,22 +290,22 @@ def page_shares(documents: DataFrame, model: LineModel | None = None) -> DataFra
 
     Null and empty texts have no words and share 0. Whole texts are read; extra columns are ignored.
     """
-    model = model or train(documents)
+    seen = observed(documents)
+    if model is None:
+        seen = Scratch(documents.sparkSession).save(seen)
+        model = _fit(seen)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            seen = [observe(t) for t in b["text"]]
-            paths = model.label_all([obs for obs, _ in seen])
-            for i, (_, n), path in zip(b["doc_id"], seen, paths):
+            for i, sizes, path in zip(b["doc_id"], b["sizes"], model.label_all(_pages(b["obs"]))):
+                n = np.frombuffer(sizes, dtype=np.int32)
                 by = np.bincount(path, weights=n, minlength=len(STATES)).astype(int)
                 total = int(n.sum())
                 rows.append((i, total, *by[1:5].tolist(), float(by[FLAGGED].sum() / total) if total else 0.0))
             yield pd.DataFrame(rows, columns=["doc_id", "words", "link_words", "tag_words", "menu_words", "technical_words", "spam_share"])
 
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(
-        score, "doc_id long, words long, link_words long, tag_words long, menu_words long, technical_words long, spam_share double"
-    )
+    return seen.mapInPandas(score, "doc_id long, words long, link_words long, tag_words long, menu_words long, technical_words long, spam_share double")
 
 
 def spam_pages(documents: DataFrame, share: float = 0.55, min_words: int = 15, model: LineModel | None = None) -> DataFrame:

@@ -408,3 +408,34 @@ def test_labels_of_many_pages_at_once():
     for cells in (1, 300, 10**6):
         assert all(np.array_equal(a, model.label(b)) for a, b in zip(model.label_all(pages, cells), pages))
     assert model.label_all([]) == []
+
+
+def test_model_is_fitted_on_all_pages(spark):
+    rng = random.Random(3)
+    texts = [rng.choice(SPAM + HONEST) for _ in range(2600)]
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    model = spam.train(documents(spark, [*rows, (None, SPAM[0], None)]))
+    often = [(spam.observe(t)[0], texts.count(t)) for t in SPAM + HONEST]
+    weight = 500 * sum(n for obs, n in often if len(obs)) / 2000
+    want = spam.LineModel()
+    for _ in range(3):
+        emission, move = [np.exp(e) * weight for e in spam.LineModel().emission], np.exp(spam.LineModel().move) * weight
+        for obs, n in often:
+            path = want.label(obs)
+            for t, state in enumerate(path):
+                for f, x in enumerate(obs[t]):
+                    emission[f][state, x] += n
+                if t:
+                    move[path[t - 1], state] += n
+        want = spam.LineModel([np.log(e / e.sum(1, keepdims=True)) for e in emission], np.log(move / move.sum(1, keepdims=True)))
+    assert np.allclose(model.move, want.move) and all(np.allclose(a, b) for a, b in zip(model.emission, want.emission))
+    # neither the ids nor the partitions matter
+    other = spam.train(documents(spark, [(10**6 + 7 * i, t, None) for i, t, _ in rows]).repartition(7))
+    assert np.array_equal(model.move, other.move) and all(map(np.array_equal, model.emission, other.emission))
+
+
+def test_priors_keep_their_share():
+    counts = spam.LineModel().counts([spam.observe(t)[0] for t in SPAM + HONEST] * 200)
+    assert counts[-1] == 200 * (len(SPAM) + len(HONEST) - 2)  # the blank ones have no lines
+    one, more = spam.LineModel.of(counts), spam.LineModel.of(counts * 50)
+    assert np.allclose(one.move, more.move) and all(map(np.allclose, one.emission, more.emission))
